@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import compression_classifier, media, packing, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
 
 QUERIES = {
+    "op1_sentencepieces": sentencepieces.op1,
+    "op2_token_counts": token_counts.op2,
+    "op4_url_filters": url_filters.op4,
+    "op5_packing": packing.op5,
+    "op6_quality_classifier": compression_classifier.op6,
+    "op7_media_columns": media.op7,
+    "op8_sharding": sharding.op8,
+    "op9_warc": warc.op9,
     "op10_quality_rules": quality_rules.op10,
 }
 ORACLE_SQL = {
+    "op4_url_filters": url_filters.ORACLE,
+    "op9_warc": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
