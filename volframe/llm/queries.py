@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, media, packing, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
+from . import compression_classifier, media, ngram_join, packing, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_sentencepieces": sentencepieces.op1,
     "op2_token_counts": token_counts.op2,
+    "op3_ngram_join": ngram_join.op3,
     "op4_url_filters": url_filters.op4,
     "op5_packing": packing.op5,
     "op6_quality_classifier": compression_classifier.op6,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10,
 }
 ORACLE_SQL = {
+    "op3_ngram_join": ngram_join.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
