@@ -38,7 +38,7 @@ MEASURES: dict[str, str] = {
     "_words": r"array_remove(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), '')",
     "_lines": f"filter(split(coalesce(text, ''), '\\n'), l -> l rlike '{WORD}')".replace("\\", "\\\\"),
     "_hashes": "transform(_words, w -> xxhash64(w))",
-    "_grams": "CASE WHEN size(_hashes) < 5 THEN array() ELSE transform(sequence(0, size(_hashes) - 5), i -> xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2], _hashes[i + 3], _hashes[i + 4])) END",
+    "_grams": "CASE WHEN size(_hashes) < 5 THEN array() ELSE transform(array(_hashes), h -> transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])))[0] END",
     "n_words": "CAST(size(_words) AS BIGINT)",
     "word_chars": "CAST(char_length(array_join(_words, '')) AS BIGINT)",
     "n_symbols": f"CAST(size(split(coalesce(text, ''), '[{SYMBOLS}]')) - 1 AS BIGINT)",
@@ -47,7 +47,8 @@ MEASURES: dict[str, str] = {
     "n_repeat_words": _REPEATED,
 }
 _USES = {"_hashes": ("_words",), "_grams": ("_hashes",), "n_words": ("_words",), "word_chars": ("_words",), "n_lines": ("_lines",), "n_dup_lines": ("_lines",), "n_repeat_words": ("_grams",)}
-#: Measures whose values the later ones use again and again: each level is a projection of its own.
+#: Measures whose values later ones use: each level is a projection of its own. Where a filter on a measure is pushed below
+#: them and so made of whole expressions, arrays are still bound once, by an outer lambda, and not for each element.
 _LEVELS = (("_words", "_lines"), ("_hashes",), ("_grams",), ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))
 
 #: A document fails the base when it is too short or when over a fifth of its words stand in repeated 5-word windows.
