@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Chunks a Python worker keeps before it starts afresh, a bound on its memory.
+#: Chunks, and lower-case words, that a Python worker keeps before it starts afresh: a bound on its memory.
 CACHE_CHUNKS = 300_000
+CACHE_WORDS = 1_200_000
 #: Characters that are taken through numpy at a time.
 BATCH_CHARS = 2_000_000
 
@@ -32,8 +33,8 @@ class ChunkStore:
     learn: gets new chunks and returns, for each, a tuple of equally long lists.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[tuple]], kinds: tuple[type, ...]):
-        self.learn, self.kinds = learn, kinds
+    def __init__(self, learn: Callable[[list[str]], list[tuple]], kinds: tuple[type, ...], most: int = CACHE_CHUNKS):
+        self.learn, self.kinds, self.most = learn, kinds, most
         self.clear()
 
     def clear(self) -> None:
@@ -44,9 +45,9 @@ class ChunkStore:
 
     def rows(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk, after learning those that are new."""
-        if len(self.at) > CACHE_CHUNKS:
+        if len(self.at) > self.most:
             self.clear()
-        if new := list(dict.fromkeys(c for c in chunks if c not in self.at)):
+        if new := list(set(chunks).difference(self.at)):
             found = self.learn(new)
             n = len(self.at)
             self.at.update(zip(new, range(n, n + len(new)), strict=True))
@@ -54,7 +55,8 @@ class ChunkStore:
             self.starts = np.concatenate([self.starts, len(self.values[0]) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             for k, kind in enumerate(self.kinds):
-                self.values[k] = np.concatenate([self.values[k], np.fromiter((v for x in found for v in x[k]), kind, int(lengths.sum()))])
+                new_values = np.concatenate([np.asarray(x[k], kind) for x in found]) if isinstance(found[0][k], np.ndarray) else np.fromiter((v for x in found for v in x[k]), kind, int(lengths.sum()))
+                self.values[k] = np.concatenate([self.values[k], new_values])
         return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -97,23 +99,38 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 WORD_CHUNKS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Marks that end a word. They are tokens of their own in any case, so they may be set apart, and the word is a known one.
+END_MARKS = re.compile(r"(?<=[a-z])([.,!?;:]+)(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordEncoder:
-    """Ids of whole texts by a `tokenizers` file whose pre-tokenizer drops white space, so that no token crosses it."""
+    """Ids of whole texts by a `tokenizers` file that lower-cases, sets marks apart from letters, and drops white space, so
+    that no token crosses it. Texts that may hold a special token's string are left in their own case."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.store = ChunkStore(self._learn, (np.uint32,))
+        self.store = ChunkStore(self._learn, (np.uint32,), CACHE_WORDS)
 
     def _learn(self, chunks: list[str]) -> list[tuple]:
-        return [(self.tokenizer.encode(c, add_special_tokens=False).ids,) for c in chunks]
+        found: list[tuple] = []
+        for at in range(0, len(chunks), 4096):  # many chunks as one text, whose tokens are told apart by their place
+            some = chunks[at : at + 4096]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, places = np.array(e.ids, np.uint32), np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            cuts = np.searchsorted(places, ends[:-1])
+            found += [(x,) for x in np.split(ids, cuts)]
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids on end)."""
-        chunks, counts = split_chunks(texts, WORD_CHUNKS)
+        plain = [t if "<|" in t else END_MARKS.sub(r" \1", t.encode().lower().decode()) for t in texts]
+        chunks, counts = split_chunks(plain, WORD_CHUNKS)
         lengths, (ids,) = self.store.gather(self.store.rows(chunks))
         return sums(lengths, counts), ids
 
