@@ -112,6 +112,18 @@ def test_blocks(spark, monkeypatch):
     same(spark, rows, 3, 90)
 
 
+def test_empty_blocks(spark, monkeypatch):
+    """Blocks are filled by hash: where some stay empty, no link counts twice."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: rng.randint(56, 60)], f"x{i}"])) for i in range(84)]
+    blocks = -(-len(rows) // 4)
+    filled = spark.range(len(rows)).selectExpr(f"pmod(xxhash64(id), {blocks}) AS block").distinct().count()
+    assert filled < blocks
+    same(spark, rows, 3, 90)
+
+
 def test_overlaps(monkeypatch):
     monkeypatch.setattr(ngram_join, "FRAGMENT_NGRAMS", 7)
     rng = np.random.default_rng(1)

@@ -286,9 +286,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _linked(rows: list[dict], threshold: int) -> list[tuple[int, int, int]]:
     """(document, smallest document it hangs together with here, links) of a block pair's sets that have links.
-    Links count documents: a set counts as often as documents have it."""
+    Links count documents: a set counts as often as documents have it. A block may be empty, and has no links then."""
     sides = [[r for r in rows if r["side"] == s] for s in (0, 1)]
-    same = not sides[1]
+    same = bool(rows) and rows[0]["band_a"] == rows[0]["band_b"] and rows[0]["block_a"] == rows[0]["block_b"]
     a, b = sides[0], sides[0] if same else sides[1]
     if not a or not b:
         return []
