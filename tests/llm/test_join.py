@@ -124,6 +124,17 @@ def test_empty_blocks(spark, monkeypatch):
     same(spark, rows, 3, 90)
 
 
+@pytest.mark.parametrize("k", [3, 5])
+def test_few_words(spark, k):
+    """Texts of fewer words altogether than an n-gram has."""
+    for n in range(7):
+        one = " ".join(f"w{i}" for i in range(n))
+        sizes, grams = ngram_join.ngram_sets([one], k)
+        assert sizes.tolist() == [len(shingles(one, k))] and len(grams) == sizes[0]
+    df = spark.createDataFrame([(1, "one two"), (2, "One two")], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in ngram_join.keep_first(df, k=k).collect()] == [1]
+
+
 def test_overlaps(monkeypatch):
     monkeypatch.setattr(ngram_join, "FRAGMENT_NGRAMS", 7)
     rng = np.random.default_rng(1)

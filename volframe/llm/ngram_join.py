@@ -76,7 +76,7 @@ def ngram_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(words)), counts)
     n = len(h)
     grams = h.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, n)):
         grams[: n - j] = grams[: n - j] * U(0x9E3779B97F4A7C15) + h[j:]
     whole = np.zeros(n, bool)
     if n >= k:
