@@ -160,3 +160,15 @@ def test_classifier_on_odd_rows(spark, odd, none):
     only = compression_classifier.fit(odd, labels.where("quality = 1"))
     assert all(r.score > 0.5 for r in compression_classifier.score(odd, only).collect())
     assert all(0 <= r.score <= 1 for r in compression_classifier.score(odd, compression_classifier.fit(none, labels)).collect())
+
+
+def test_classifier_keeps_the_labels_shares(spark):
+    """The bound on the sample is for each label; scores keep the shares that the labels have in all rows."""
+    rng = random.Random(4)
+    kinds = [int(i % 10 > 0) for i in range(600)]
+    word = lambda v: rng.choice((f"good{rng.randint(0, 300)}", f"bad{rng.randint(0, 300)}")[:: 1 if rng.random() < 0.55 + 0.1 * v else -1])
+    docs = spark.createDataFrame([(i, " ".join(word(v) for _ in range(60))) for i, v in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, quality int")
+    for most in (40, 1200):
+        mean = np.mean([r.score for r in compression_classifier.score(docs, compression_classifier.fit(docs, labels, sample_texts=most)).collect()])
+        assert abs(mean - 0.9) < 0.1

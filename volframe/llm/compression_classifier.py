@@ -57,12 +57,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method."""
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method. counts: how many rows each row stands for, 1 by default."""
     w = np.zeros(x.shape[1])
+    counts = np.ones(len(y)) if counts is None else counts
     for _ in range(rounds):
         p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (counts * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -87,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     docs: key and text; labels: key and a label of 0 or 1 (others and null are left out, as are null texts). Half of the
     sample makes the dictionaries, the other half the calibration, so that it sees texts the dictionaries do not hold.
+    The calibration weights both labels by their shares of all label rows, which the sample's bound does not change.
     Labels that occur in only one kind give a model that scores by the share of good labels alone.
     """
     wanted = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
@@ -99,14 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.octet_length("_text").between(1, SAMPLE_BYTES))
     rows = texts.join(few, "_key").select("_label", "_rank", "_text").collect()  # bounded by the sample
     by = {v: [r["_text"].encode() for r in sorted(rows, key=lambda r: (r["_rank"], r["_text"])) if r["_label"] == v][:sample_texts] for v in (0, 1)}
-    base = (len(by[1]) + 1) / (len(by[0]) + len(by[1]) + 2)
+    of = {0: 0, 1: 0} | {r["_label"]: r["count"] for r in wanted.groupBy("_label").count().collect()}  # at most two rows
+    base = (of[1] + 1) / (of[0] + of[1] + 2)
     if not by[0] or not by[1]:
         return Model(b" " * 8, b" " * 8, (0.0, 0.0, float(np.log(base / (1 - base)))))
     model = Model(_dictionary(by[1][::2]), _dictionary(by[0][::2]), (0.0, 0.0, 0.0))
     held = [(t, v) for v in (0, 1) for t in by[v][1::2]]
     x = np.array([features(model, t.decode()) for t, _ in held]).reshape(-1, 3)
     y = np.array([v for _, v in held], float)
-    return Model(model.good, model.bad, tuple(calibrate(x, y)) if len(y) else (0.0, 0.0, 0.0))
+    n = {v: len(by[v][1::2]) for v in (0, 1)}
+    counts = np.array([of[v] / (of[0] + of[1]) * len(held) / n[v] for _, v in held])
+    return Model(model.good, model.bad, tuple(calibrate(x, y, counts=counts)) if len(y) else (0.0, 0.0, 0.0))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
