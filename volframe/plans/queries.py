@@ -293,6 +293,12 @@ def timing_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.select("run", "step", "iteration_s", "elapsed_s"), "iteration_s", "elapsed_s")
 
 
+@query(f"""WITH {fx.STEPS_SQL}, d AS (SELECT run, step, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY run ORDER BY step)) / 1e6 AS it FROM fx_steps)
+SELECT run, step, floor(avg(it) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * greatest(20000 - step, 0))::BIGINT AS eta_s FROM d""")
+def timing_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.timing(fx.steps(spark, sf_dir), "run", "step", "ts", total_steps=20_000).select("run", "step", "eta_s")
+
+
 _COST_SQL = f"{fx.STEPS_SQL}, cost AS (SELECT run, step, 1 + (event_id % 3)::BIGINT AS seconds FROM fx_steps), wl AS (SELECT *, sum(seconds) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS wall_s FROM cost)"
 
 
