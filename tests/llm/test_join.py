@@ -77,25 +77,81 @@ def test_clashing_columns(spark, odd, none):
         ngram_join.join(none, "doc_id", "text", 3, 10)
 
 
-def test_signatures_lose_no_pair():
-    """Any two sets as similar as the threshold share a signature, whatever n-grams count as common."""
-    rng = np.random.default_rng(4)
-    for threshold in (80, 90):
-        for trial in range(300):
-            n = int(rng.integers(1, 60)) if trial % 2 else int(rng.integers(60, 400))
-            universe = rng.integers(0, 2**63, 2 * n + 5).astype(np.uint64)
-            a = np.sort(universe[:n])
-            drop = rng.integers(0, max(1, n // 8) + 1)
-            b = np.sort(np.concatenate([a[rng.permutation(n)[drop:]], universe[n : n + rng.integers(0, max(1, n // 8) + 1)]]))
+def some_sets(rng, threshold, trials=300):
+    """Pairs of sets at and around the threshold."""
+    for trial in range(trials):
+        n = int(rng.integers(1, 60)) if trial % 2 else int(rng.integers(60, 400))
+        universe = rng.integers(0, 2**63, 2 * n + 5).astype(np.uint64)
+        a = np.sort(universe[:n])
+        drop = rng.integers(0, max(1, n // 8) + 1)
+        b = np.sort(np.concatenate([a[rng.permutation(n)[drop:]], universe[n : n + rng.integers(0, max(1, n // 8) + 1)]]))
+        if len(b):
             o = len(np.intersect1d(a, b))
-            if not len(b) or 100 * o < threshold * (len(a) + len(b) - o):
-                continue
-            common = np.sort(rng.permutation(a)[: rng.integers(0, n + 1)])
-            signs = []
-            for s in (a, b):
-                _, sign = ngram_join.signatures(np.array([len(s)]), s, threshold, common)
-                signs.append(set(sign.tolist()))
-            assert signs[0] & signs[1]
+            yield (a, b) if len(a) <= len(b) else (b, a), o, 100 * o >= threshold * (len(a) + len(b) - o)
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_prefixes_lose_no_pair(threshold):
+    """Of two similar sets the smaller one's shorter prefix and the other's share an n-gram, whatever counts as common."""
+    rng = np.random.default_rng(4)
+    for pair, _, similar in some_sets(rng, threshold):
+        if not similar:
+            continue
+        both = np.union1d(*pair)
+        common = np.sort(rng.permutation(both)[: rng.integers(0, len(both) + 1)])
+        longer, shorter, calm, tokens = ngram_join.prefixes(np.array([len(x) for x in pair]), np.concatenate(pair), threshold, common, rng.integers(1, 9000, len(common)))
+        assert np.intersect1d(tokens[: shorter[0]], tokens[longer[0] :]).size and (calm <= longer).all() and (shorter <= longer).all()
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_bitmaps_lose_no_pair(threshold):
+    rng, dropped, unlike = np.random.default_rng(6), 0, 0
+    for pair, o, similar in some_sets(rng, threshold):
+        size, bits = ngram_join.bitmaps(np.array([len(x) for x in pair]), np.concatenate(pair))
+        bound = ngram_join.possible(np.array([len(x) for x in pair]), [bits[: size[0]].tobytes(), bits[size[0] :].tobytes()], np.array([0]), np.array([1]), threshold)[0]
+        assert bound >= o if similar else bound == -1 or bound >= o
+        dropped, unlike = dropped + (bound < 0), unlike + (not similar)
+    assert dropped > unlike / 2
+
+
+def test_two_texts_of_one_key(spark):
+    """Rows are told apart by their texts: links go through any of a key's texts, and only the text that repeats goes."""
+    base, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "wv")
+    rows = [(1, base), (1, other), (2, base + " q"), (3, other + " q"), (4, base + " r"), (4, "own words that no other text has in it at all"), (None, other + " s")]
+    same(spark, rows, 3, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(ngram_join.keep_first(df).collect(), key=str) == sorted(df.where("doc_id = 1 or doc_id is null or text like 'own%'").collect(), key=str)
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_tiles(spark, monkeypatch, hot):
+    """Buckets of more classes than a tile holds, n-grams that count as hot, and more pairs than the earlier round takes."""
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 8)
+    monkeypatch.setattr(ngram_join, "HOT_DOCS", hot)
+    monkeypatch.setattr(ngram_join, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(ngram_join, "HUB_SETS", 5)
+    monkeypatch.setattr(ngram_join, "COUNT_NGRAMS", 300)
+    rng = random.Random(hot)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for kind in range(3):  # three groups around one text, too far apart to link, and loose ones between
+        of = [f"y{kind}" if i % 9 == kind else w for i, w in enumerate(base)]
+        for _ in range(30):
+            own = list(of)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(base)
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, "doc_id", "text", 3, 80, links=False).collect()), key=str)
+    assert got == [x[:3] for x in brute(rows, 3, 80)] and 1 < len({x[2] for x in got}) < 80
+
+
+def test_large_group(spark):
+    """20,000 near copies of one text: one component, without looking at their pairs."""
+    base = [f"w{i}" for i in range(70)]
+    change = "transform(base, (w, i) -> IF(i = pmod(id * 7, 70), concat(w, 'x', id), w))"
+    df = spark.range(1, 20_001).selectExpr("id", f"split('{' '.join(base)}', ' ') AS base").selectExpr("id AS doc_id", f"array_join({change}, ' ') AS text")
+    found = ngram_join.join(df.unionByName(spark.createDataFrame([(0, " ".join(base)), (-5, "some other text altogether")], "doc_id long, text string")), "doc_id", "text", 3, 80, links=False)
+    assert {tuple(r) for r in found.groupBy("component_id").count().collect()} == {(0, 20_001), (-5, 1)}
 
 
 def test_blocks(spark, monkeypatch):

@@ -1,48 +1,57 @@
 """Similarity join on word n-grams by vertical partitioning.
 
-Every n-gram has a place in one global order, that of its 64-bit hash, and the order is cut into fragments. A set of
-n-grams is thereby cut into segments, one for each fragment.
-
-1. Two sets of at most s n-grams each whose similarity reaches the threshold differ in at most D of them, so with more
-   than D fragments some segment is the same in both. Equal segments make candidates: the members of a bucket of equal
-   segments are linked to its smallest one, which is a pair less than the bucket has members, never all pairs.
-   Each task does this first within what it holds, so that a bucket sends one row for each task.
-2. What hangs together by candidate pairs is a cluster. Within a cluster the pairs of similar length are counted in
-   blocks: for one fragment after another the partial overlaps of a block with another are counted, and summed per pair.
-   A block pair gives its links as a spanning forest and a number of links for each set, not as pairs.
-3. Components of these links are the result. Equal sets take part once, by their smallest document.
-
-N-grams that very many documents share would make equal segments out of unequal texts. They are counted over all
-documents, and the commonest make no segments, except in sets that have hardly any others; there a second cut, over all
-n-grams, is used. A pair that only empty segments have in common has few n-grams in both sets, so no pair is lost.
+N-grams have one global order: rare ones first, in the order of their 64-bit hashes, then the commonest by how many
+documents have them. Texts with equal sets of n-grams are one class and take part once, by the digest of their set.
+
+1. Candidates. Two sets that are similar enough share an n-gram within a prefix of each, in the global order; of the
+   smaller set a shorter prefix will do. The classes that have one n-gram in their prefixes are a bucket. Buckets of the
+   same classes count once.
+2. Filter. Every class has a parity bitmap of its n-grams. Where two bitmaps differ in more places than two similar
+   sets can, the pair is dropped: a bound that loses nothing.
+3. Overlaps. The order of the hashes is cut into fragments, and with it each set into segments. Segments of candidates
+   meet by fragment, a row (pair, overlap) comes out of each, and rows are summed per pair.
+4. Which pairs are counted. First each member of a bucket with two of its members, the hubs. What then hangs together is
+   known to. Later rounds look only at pairs of a bucket that lie in different components and pass the filter: in one
+   round a few for each two components, in the last, if any were held back, all. So the components are those of all
+   links, while most pairs inside a large group of near copies are never looked at.
+5. Links, if asked for. Within each component, pairs of similar size are counted in blocks, fragment by fragment, and
+   only each set's number of links leaves a block. That work grows with the square of the different texts of one
+   component, as its result does.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import read, save
+from .shared import discard, read, save, sized
 from .tokenizing import groups, texts_of
 
 #: Words whose hashes a Python worker keeps.
 CACHE_WORDS = 500_000
-#: The commonest n-grams that make no segments: those of this share of the documents of some task's stretch, and at most
-#: so many. Either number changes only how many candidates there are, never the result.
+#: The commonest n-grams, which go last in the global order: those of this share of the documents of some task's stretch,
+#: and at most so many. Either number changes only how many candidates there are, never the result.
 COMMON_SHARE, COMMON_MOST = 0.001, 200_000
 STRETCH_NGRAMS = 3_000_000
-#: N-grams and sets in a block, and n-grams in a fragment when overlaps are counted.
+#: An n-gram of more documents than this makes a bucket that is never gathered, and whose pairs are dealt in tiles.
+HOT_DOCS = 4096
+#: Classes in a tile of a bucket, and pairs of two components that the earlier round takes from one.
+TILE_SETS, FIRST_PAIRS = 1024, 4
+#: Classes that a task remembers, so as to speak for each of them once.
+SEEN_CLASSES = 1_000_000
+#: Fragments of the global order, sets that meet one hub together, n-grams whose overlaps are counted at a time.
+FRAGMENTS, HUB_SETS, COUNT_NGRAMS = 8, 256, 1_000_000
+#: N-grams and sets in a block, and n-grams in a fragment when links are counted.
 BLOCK_NGRAMS, BLOCK_SETS, FRAGMENT_NGRAMS = 1_500_000, 384, 4096
-#: Ratio of the largest to the smallest set of one cut.
-STEP = 1.5
 U = np.uint64
 
 
@@ -104,27 +113,51 @@ def _digests(sizes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _run_sums(_mix(grams ^ U(0x5851F42D4C957F2D)), sizes).view(np.int64), _run_sums(_mix(grams ^ U(0x14057B7EF767814F)), sizes).view(np.int64)
 
 
-SETS = "doc_id long, n long, s1 long, s2 long"
+def classes_of(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A number for each set: equal sets have equal ones, others differ but for collisions of 64 bits."""
+    s1 = _run_sums(_mix(grams ^ U(0x5851F42D4C957F2D)), sizes)
+    s2 = _run_sums(_mix(grams ^ U(0x14057B7EF767814F)), sizes)
+    return _mix(s1 + _mix(s2 + sizes.astype(np.uint64))).view(np.int64)
+
+
+class _Once:
+    """Tells what a task has not seen before; forgets all when it holds too much."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def new(self, values: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(values), bool)
+        first[np.unique(values, return_index=True)[1]] = True
+        if len(self.seen) > SEEN_CLASSES:
+            self.seen.clear()
+        if self.seen:
+            first &= np.fromiter((v not in self.seen for v in values.tolist()), bool, len(values))
+        self.seen.update(values[first].tolist())
+        return first
+
+
+SETS = "doc_id long, th long, n long, c long"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document; then, with a null doc_id and n = -1, s1 n-grams that are common in a stretch of the
-    rows, with s2 documents that have them."""
+    """A row for each document; then, with a null doc_id and n = -1, n-grams (th) that are common in a stretch of the
+    rows, with the number of documents (c) that have them."""
+    names = ["doc_id", "th", "n", "c"]
     held: list[np.ndarray] = []
-    n_docs = 0
+    n_docs = size = 0
 
     def common() -> pa.RecordBatch:
         values, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = times >= max(8, COMMON_SHARE * n_docs)
         m = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.full(m, -1)), pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "n", "s1", "s2"])
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(np.full(m, -1)), pa.array(times[often].astype(np.int64))], names)
 
-    size = 0
     for b in batches:
         for at, run in groups(texts_of(b)):
             sizes, grams = ngram_sets(run, k)
-            s1, s2 = _digests(sizes, grams)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array(sizes.astype(np.int64)), pa.array(s1), pa.array(s2)], ["doc_id", "n", "s1", "s2"])
+            c = pa.array(classes_of(sizes, grams), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes.astype(np.int64)), c], names)
             held.append(grams)
             n_docs += len(run)
             size += len(grams)
@@ -134,134 +167,262 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     yield common()
 
 
-def _cuts(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, cut, most n-grams of a set of the cut) of all cuts that each set takes part in: that of its own size, and the
-    next while a set of it can be similar enough."""
-    bounds = [1]
-    while bounds[-1] <= (sizes.max(initial=1) * 100) // threshold + 1:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * STEP)))
-    bounds = np.array(bounds, np.int64)
-    own = np.searchsorted(bounds, sizes, side="right") - 1
-    sets, cuts = [np.flatnonzero(sizes > 0)], [own[sizes > 0]]
-    more = own + 1
-    while True:
-        ok = (sizes > 0) & (more < len(bounds) - 1)
-        ok[ok] = sizes[ok] * 100 >= threshold * bounds[more[ok]]
-        if not ok.any():
-            break
-        sets.append(np.flatnonzero(ok))
-        cuts.append(more[ok])
-        more = np.where(ok, more + 1, len(bounds))
-    sets, cuts = np.concatenate(sets), np.concatenate(cuts)
-    return sets, cuts, bounds[cuts + 1] - 1
-
-
-def _segments(sets, cuts, most, sizes, grams, threshold, way) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature) of each segment that is not empty, of the cut made this way, and which sets x cuts have so few
-    that a similar pair could share empty ones alone."""
-    differ = (100 - threshold) * 2 * most // (100 + threshold)
-    pieces = differ + 2 + differ // 8
-    begins = np.cumsum(sizes) - sizes
-    n = sizes[sets]
-    if not n.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.ones(len(sets), bool)
-    item = np.repeat(np.arange(len(sets)), n)
-    value = grams[np.arange(len(item)) + np.repeat(begins[sets] - (np.cumsum(n) - n), n)]
-    place = value if way < 2 else _mix(value + U(way))
-    fragment = (place >> U(32)) * pieces[item].astype(np.uint64) >> U(32)
-    if way >= 2:
-        order = np.lexsort((fragment, item))
-        item, value, fragment = item[order], value[order], fragment[order]
-    first = np.ones(len(item), bool)
-    first[1:] = (item[1:] != item[:-1]) | (fragment[1:] != fragment[:-1])
-    starts = np.flatnonzero(first)
-    total = np.add.reduceat(_mix(value ^ U(0xD1B54A32D192ED03)), starts)
-    name = (cuts[item[starts]] * 8 + way).astype(np.uint64) * U(0x9E3779B97F4A7C15) + fragment[starts]
-    return sets[item[starts]], _mix(total ^ _mix(name)), np.bincount(item[starts], minlength=len(sets)) <= differ
-
-
-def signatures(sizes: np.ndarray, grams: np.ndarray, threshold: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) so that two sets as similar as the threshold, in percent, have a signature in common."""
-    sets, cuts, most = _cuts(sizes, threshold)
-    rare = np.ones(len(grams), bool)
+def prefixes(sizes: np.ndarray, grams: np.ndarray, threshold: int, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths of the sets' prefixes in the global order; how much of each is its shorter prefix; how much is not hot;
+    the prefixes' n-grams on end). common: the commonest n-grams, ascending, and in how many documents they are.
+
+    Two sets of n <= m n-grams whose overlap o reaches the threshold t have o >= 2 t n / (100 + t) and o >= t m / 100, so
+    the first n - ceil(2 t n / (100 + t)) + 1 of the one and the first m - ceil(t m / 100) + 1 of the other share one.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    weight = np.zeros(len(grams), np.int64)
     if len(common) and len(grams):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        rare = common[at] != grams
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for way in range(4):
-        kind = (np.bincount(owner[rare], minlength=len(sizes)), grams[rare]) if way == 0 else (sizes, grams)
-        some, sign, poor = _segments(sets, cuts, most, *kind, threshold, way)
-        found.append((some, sign))
-        sets, cuts, most = sets[poor], cuts[poor], most[poor]
-        if not len(sets):
-            break
-    if len(sets):  # so few n-grams that no cut tells them apart: all of their cut are candidates
-        found.append((sets, _mix(cuts.astype(np.uint64) * U(8) + U(7))))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-
-def _starred(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, smallest document of each) and (document, smallest) for the others of each key."""
-    if not len(key):
-        return key, doc, doc, doc
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    hub = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(key))))
-    other = ~first & (doc != hub)
-    pairs = np.unique(np.stack([doc[other], hub[other]], 1), axis=0)
-    return key[first], doc[first], pairs[:, 0], pairs[:, 1]
-
-
-def _rows(*columns: np.ndarray | None) -> pa.RecordBatch:
-    size = next(len(c) for c in columns if c is not None)
-    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c.astype(np.int64, copy=False)) for c in columns], ["key", "a", "b"])
-
-
-def _sign(batches: Iterator[pa.RecordBatch], k: int, threshold: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+        weight = np.where(common[at] == grams, times[at], 0)
+        order = np.lexsort((weight, owner))  # n-grams stay ascending among those of one weight
+        grams, weight = grams[order], weight[order]
+    some = sizes > 0
+    longer = np.where(some, sizes + (-threshold * sizes) // 100 + 1, 0)
+    shorter = np.where(some, sizes + (-2 * threshold * sizes) // (100 + threshold) + 1, 0)
+    place = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[owner]
+    taken = place < longer[owner]
+    calm = np.bincount(owner[taken & (weight <= HOT_DOCS)], minlength=len(sizes))
+    return longer, shorter, calm, grams[taken]
+
+
+def _bit_bytes(sizes: np.ndarray) -> np.ndarray:
+    """Bytes of a set's bitmap: at least two bits for each n-gram, a power of two, from 16 to 8192."""
+    return 2 ** np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 2, 4, 13)
+
+
+def bitmaps(sizes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each set's bitmap, the bitmaps on end). A bit is the parity of the n-grams that fall on it."""
+    size = _bit_bytes(sizes)
+    begins = np.cumsum(size) - size
+    bit = np.repeat(begins, sizes) * 8 + (grams & np.repeat(size * 8 - 1, sizes).astype(np.uint64)).astype(np.int64)
+    return size, np.packbits((np.bincount(bit, minlength=int(size.sum()) * 8) & 1).astype(np.uint8))
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps, one a row, as they would be with fewer bytes."""
+    while bits.shape[1] > size:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """An upper bound of the overlap of sets i with sets j, and -1 where that is too small for the threshold."""
+    size = np.array([len(x) for x in bits], np.int64)
+    least, most = np.minimum(size[i], size[j]), np.full(len(i), -1, np.int64)
+    for own in np.unique(least):
+        pairs = np.flatnonzero(least == own)
+        used = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        rows = np.zeros((len(used), int(own)), np.uint8)
+        for wide in np.unique(size[used]):
+            some = np.flatnonzero(size[used] == wide)
+            rows[some] = _folded(np.frombuffer(b"".join(bits[x] for x in used[some]), np.uint8).reshape(len(some), -1), int(own))
+        rows = rows.view(np.uint64)
+        step = max(1, 4_000_000 // int(own))
+        for at in range(0, len(pairs), step):
+            p = pairs[at : at + step]
+            differ = np.bitwise_count(rows[np.searchsorted(used, i[p])] ^ rows[np.searchsorted(used, j[p])]).sum(1, dtype=np.int64)
+            both = n[i[p]] + n[j[p]]
+            most[p] = np.where((both - differ) * (100 + threshold) >= 2 * threshold * both, (both - differ) // 2, -1)
+    return most
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+PREFIXES = "c long, n long, bits binary, short int, calm int, tokens array<long>"
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch], k: int, threshold: int, common: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    once = _Once()
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        for at, run in groups(texts_of(b), 6_000_000):
+        for _, run in groups(texts_of(b)):
             sizes, grams = ngram_sets(run, k)
-            own = ids[at : at + len(run)].astype(np.int64)
-            s1, s2 = _digests(sizes, grams)
-            order = np.lexsort((own, s2, s1, sizes))  # of equal sets here, the smallest document speaks for all
-            again = np.zeros(len(run), bool)
-            o, p = order[1:], order[:-1]
-            again[o] = (sizes[o] == sizes[p]) & (s1[o] == s1[p]) & (s2[o] == s2[p])
-            kept = np.where(again, 0, sizes)
-            grams = grams[np.repeat(~again, sizes)]
-            who, sign = signatures(kept, grams, threshold, common)
-            key, doc, member, hub = _starred(sign.view(np.int64), own[who])
-            yield _rows(key, doc, None)
-            if len(member):
-                yield _rows(_mix(member.astype(np.uint64)).view(np.int64), member, hub)
+            c = classes_of(sizes, grams)
+            new = once.new(c) & (sizes > 0)
+            grams, sizes, c = grams[np.repeat(new, sizes)], sizes[new], c[new]
+            longer, shorter, calm, tokens = prefixes(sizes, grams, threshold, common, times)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(longer)]).astype(np.int32), pa.array(tokens.view(np.int64)))
+            columns = [pa.array(c), pa.array(sizes.astype(np.int64)), _binary(*bitmaps(sizes, grams)), pa.array(shorter.astype(np.int32)), pa.array(calm.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "bits", "short", "calm", "tokens"])
+
+
+def _column(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    c = b.column(b.schema.get_field_index(name))
+    return c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, docs = [], []
+    """Rows (token, c, ns), ns being twice the size, plus one in the shorter prefix, come sorted by token. Out come
+    (bucket, c, ns): the classes of each token that several have, each set of classes under one number."""
+    once = _Once()
+
+    def found(token: np.ndarray, c: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((c, token))
+        token, c, ns = token[order], c[order], ns[order]
+        other = np.ones(len(token), bool)
+        other[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+        token, c, ns = token[other], c[other], ns[other]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(starts, len(token)))
+        total = np.add.reduceat(_mix(_mix(c.view(np.uint64)) + (ns & 1).astype(np.uint64)), starts)
+        bucket = _mix(total + size.astype(np.uint64)).view(np.int64)
+        kept = np.flatnonzero((size > 1) & (np.add.reduceat(ns & 1, starts) > 0))
+        kept = kept[once.new(bucket[kept])]
+        rows = np.isin(np.repeat(np.arange(len(size)), size), kept)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, size)[rows]), pa.array(c[rows]), pa.array(ns[rows])], ["bucket", "c", "ns"])
+
+    held: list[tuple] = []
     for b in batches:
-        key, a, hub = (b.column(i) for i in range(3))
-        done = hub.is_valid()
-        if pa.compute.any(done).as_py():
-            yield pa.RecordBatch.from_arrays([a.filter(done), hub.filter(done)], ["a", "b"])
-        left = pa.compute.invert(done)
-        keys.append(key.filter(left).to_numpy())
-        docs.append(a.filter(left).to_numpy())
-    if keys:
-        _, _, member, hub = _starred(np.concatenate(keys), np.concatenate(docs))
-        yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(hub)], ["a", "b"])
+        columns = [_column(b, x) for x in ("token", "c", "ns")]
+        if not b.num_rows:
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut == 0 and held and held[-1][0][-1] != columns[0][0]:
+            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
+        if cut:
+            yield found(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in columns], strict=True)))
+            held = []
+        held.append(tuple(x[cut:] for x in columns))
+    if held:
+        yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, na, bits_a, nb, bits_b) the pairs (a, b) that may be similar enough."""
+    for b in batches:
+        m = b.num_rows
+        n = np.concatenate([_column(b, "na"), _column(b, "nb")])
+        bits = [*b.column(b.schema.get_field_index("bits_a")).to_pylist(), *b.column(b.schema.get_field_index("bits_b")).to_pylist()]
+        yield b.select(["a", "b"]).filter(pa.array(possible(n, bits, np.arange(m), np.arange(m) + m, threshold) >= 0))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of equal keys, as tables; rows come sorted by them."""
+    held, at = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [_column(b, x) for x in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        for begin, end in itertools.pairwise([0, *np.flatnonzero(new).tolist(), b.num_rows]):
+            own = tuple(int(c[begin]) for c in columns)
+            if held and own != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = own
+            held.append(b.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+TILE = ("bucket", "i", "j")
+
+
+def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
+    `most` of two components, those with the highest bounds, and whether there were more."""
+    for rows in _runs(batches, TILE):
+        c, ns, part, side = (_column(rows, x) for x in ("c", "ns", "part", "side"))
+        n, short = ns >> 1, (ns & 1).astype(bool)
+        same = rows["i"][0].as_py() == rows["j"][0].as_py()
+        left = np.arange(len(c)) if same else np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        x, y = n[left][:, None], n[right][None, :]
+        ok = (part[left][:, None] != part[right][None, :]) & (100 * np.minimum(x, y) >= threshold * np.maximum(x, y))
+        ok &= ((x <= y) & short[left][:, None]) | ((y <= x) & short[right][None, :])
+        i, j = np.nonzero(np.triu(ok) if same else ok)
+        if not len(i):
+            continue
+        i, j = left[i], right[j]
+        bound = possible(n, rows["bits"].to_pylist(), i, j, threshold)
+        i, j, bound = i[bound >= 0], j[bound >= 0], bound[bound >= 0]
+        if not len(i):
+            continue
+        low, high = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+        order = np.lexsort((-bound / (n[i] + n[j]), high, low))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        first = np.ones(len(i), bool)
+        first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.flatnonzero(first)
+        rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+        more = np.repeat(np.diff(np.append(starts, len(i))) > most, np.diff(np.append(starts, len(i))))
+        some = rank < most
+        i, j, more = i[some], j[some], more[some]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(more)], ["a", "b", "held_back"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(c, fragment, grams): the sets cut by the fragments of the hashes' order; empty segments are left out."""
+    once = _Once()
+    for b in batches:
+        for _, run in groups(texts_of(b)):
+            sizes, grams = ngram_sets(run, k)
+            c = classes_of(sizes, grams)
+            new = once.new(c)
+            grams, sizes, c = grams[np.repeat(new, sizes)], sizes[new], c[new]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            piece = owner * FRAGMENTS + ((grams >> U(32)) * U(FRAGMENTS) >> U(32)).astype(np.int64)
+            number, size = np.unique(piece, return_counts=True)
+            columns = [pa.array(c[number // FRAGMENTS]), pa.array((number % FRAGMENTS).astype(np.int32)), _binary(size * 8, grams)]
+            yield pa.RecordBatch.from_arrays(columns, ["sc", "fragment", "grams"])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, overlap) within one fragment. Rows (a, chunk, fragment, side, c, grams) come sorted by the first three, so
+    a hub's segment (side 0) and its members' (side 1) stand together; many hubs are counted in one go."""
+
+    def counted(held: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(held).combine_chunks()
+        a, chunk, fragment, side, c = (_column(rows, x) for x in ("a", "chunk", "fragment", "side", "c"))
+        size = np.asarray(pa.compute.binary_length(rows["grams"])) // 8
+        values = np.frombuffer(b"".join(rows["grams"].to_pylist()), np.uint64)
+        group = _mix(_mix(a.view(np.uint64)) + (chunk * FRAGMENTS + fragment).astype(np.uint64))
+        keys = _mix(values + np.repeat(group, size))
+        row = np.repeat(np.arange(len(a)), size)
+        hub = (side == 0)[row]
+        hubs = np.unique(keys[hub])
+        keys, row = keys[~hub], row[~hub]
+        if not len(hubs) or not len(keys):
+            hit = np.zeros(len(keys), bool)
+        else:
+            hit = hubs[np.minimum(np.searchsorted(hubs, keys), len(hubs) - 1)] == keys
+        n = np.bincount(row[hit], minlength=len(a))
+        some = n > 0
+        # a class that several tasks spoke for has its segment here more than once
+        order = np.flatnonzero(some)
+        _, first = np.unique(_mix(group[order] + _mix(c[order].view(np.uint64))), return_index=True)
+        order = order[first]
+        return pa.RecordBatch.from_arrays([pa.array(a[order]), pa.array(c[order]), pa.array(n[order])], ["a", "b", "overlap"])
+
+    held, size = [], 0
+    for rows in _runs(batches, ("a", "chunk", "fragment")):
+        held.append(rows)
+        size += rows.nbytes // 8
+        if size >= COUNT_NGRAMS:
+            yield counted(held)
+            held, size = [], 0
+    if held:
+        yield counted(held)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    once = _Once()
     for b in batches:
-        for at, run in groups(texts_of(b)):
+        for _, run in groups(texts_of(b)):
             sizes, grams = ngram_sets(run, k)
-            ends = np.cumsum(sizes)
-            sets = [grams[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array(sets, pa.binary())], ["_doc", "grams"])
+            c = classes_of(sizes, grams)
+            new = once.new(c)
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]), _binary(sizes[new] * 8, grams[np.repeat(new, sizes)])], ["_doc", "grams"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -284,12 +445,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _linked(rows: list[dict], threshold: int) -> list[tuple[int, int, int]]:
-    """(document, smallest document it hangs together with here, links) of a block pair's sets that have links.
-    Links count documents: a set counts as often as documents have it. A block may be empty, and has no links then."""
-    sides = [[r for r in rows if r["side"] == s] for s in (0, 1)]
+def _linked(rows: list[dict], threshold: int) -> list[tuple[int, int]]:
+    """(set, links) of a block pair's sets that have links. Links count documents: a set counts as often as documents
+    have it. A block may be empty, and has no links then."""
+    sides: list[dict] = [{r["doc"]: r for r in rows if r["side"] == s} for s in (0, 1)]
     same = bool(rows) and rows[0]["band_a"] == rows[0]["band_b"] and rows[0]["block_a"] == rows[0]["block_b"]
-    a, b = sides[0], sides[0] if same else sides[1]
+    a, b = list(sides[0].values()), list(sides[0 if same else 1].values())
     if not a or not b:
         return []
     sets = [[np.frombuffer(r["grams"], np.uint64) for r in side] for side in (a, b)]
@@ -298,51 +459,27 @@ def _linked(rows: list[dict], threshold: int) -> list[tuple[int, int, int]]:
     link = (o > 0) & (100 * o >= threshold * (sizes[0][:, None] + sizes[1][None, :] - o))
     if same:
         np.fill_diagonal(link, False)
-    ids = [np.array([r["doc"] for r in side]) for side in (a, b)]
     weights = [np.array([r["m"] for r in side]) for side in (a, b)]
-    low = [ids[0].copy(), ids[0].copy() if same else ids[1].copy()]
-    far = np.iinfo(np.int64).max
-    while True:  # the smallest document reaches all that hang together
-        x = np.minimum(low[0], np.where(link, low[1][None, :], far).min(1))
-        y = x if same else np.minimum(low[1], np.where(link, x[:, None], far).min(0))
-        if (x == low[0]).all() and (y == low[1]).all():
-            break
-        low = [x, y]
-    n = [link @ weights[1], weights[0] @ link]
-    out = [(int(d), int(s), int(c)) for d, s, c in zip(ids[0], low[0], n[0], strict=True) if c]
-    return out if same else out + [(int(d), int(s), int(c)) for d, s, c in zip(ids[1], low[1], n[1], strict=True) if c]
+    counts = [(a, link @ weights[1])] if same else [(a, link @ weights[1]), (b, weights[0] @ link)]
+    return [(r["doc"], int(n)) for side, found in counts for r, n in zip(side, found, strict=True) if n]
 
 
-TILE = ("cluster", "band_a", "band_b", "block_a", "block_b")
+BLOCK_PAIR = ("cluster", "band_a", "band_b", "block_a", "block_b")
 
 
 def _count(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block pair; one block pair is held at a time."""
-    held, tile = [], None
-    out: list[tuple[int, int, int]] = []
-    for b in batches:
-        for r in b.to_pylist():
-            own = tuple(r[c] for c in TILE)
-            if own != tile:
-                out += _linked(held, threshold)
-                held, tile = [], own
-            held.append(r)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "links"])
-            out = []
-    out += _linked(held, threshold)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "links"])
+    for rows in _runs(batches, BLOCK_PAIR):
+        if out := _linked(rows.to_pylist(), threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["c", "links"])
 
 
 def _tiles(members: DataFrame, threshold: int) -> DataFrame:
-    """A row for each of the block pairs that a set of a cluster takes part in: (TILE, side, doc, m).
+    """A row for each of the block pairs that a set of a cluster takes part in: (BLOCK_PAIR, side, doc, m).
 
     Bands of sizes are so wide that similar sets are in one band or in neighbouring ones. A band has as many blocks as
     its sets need, and a set falls in one by hash.
     """
-    import math
-
     width = math.log(100 / threshold) * 1.0001 + 1e-9 if threshold < 100 else 1.0
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("long"))
     per_block = F.greatest(F.lit(4.0), F.least(F.lit(float(BLOCK_SETS)), F.lit(float(BLOCK_NGRAMS)) / F.avg("n")))
@@ -358,55 +495,155 @@ def _tiles(members: DataFrame, threshold: int) -> DataFrame:
     return at.select("cluster", "doc", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("t")).select("cluster", "t.band_a", "t.band_b", "t.block_a", "t.block_b", "t.side", "doc", "m")
 
 
-def join(docs: DataFrame, key: str, text: str, k: int = 3, threshold: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, class_id) of every row.
+class _Join:
+    """One run of the join: its tables in the shared folder and the steps on them."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, k: int, threshold: int):
+        self.k, self.threshold = k, threshold
+        self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+        described = save(self.rows.mapInArrow(lambda it: _describe(it, k), SETS), "sets")
+        often = described.where("doc_id IS NULL AND n = -1").groupBy("th").agg(F.sum("c").alias("times")).orderBy(F.desc("times"), "th").limit(COMMON_MOST)
+        most = sorted((r["th"] % 2**64, r["times"]) for r in often.collect())  # at most COMMON_MOST
+        self.common = np.array([x for x, _ in most], np.uint64), np.array([x for _, x in most], np.int64)
+        self.sets = described.where("n >= 0")
+        grouped = self.sets.where("n > 0").groupBy("c").agg(F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
+        self.classes = save(grouped, "classes")
+
+    def texts(self, classes: DataFrame) -> DataFrame:
+        """The rows whose text stands for one of these classes (c): few by broadcast, else each text moves once."""
+        return self.rows.join(sized(self.classes.join(classes, "c", "left_semi").select("th")), "th", "left_semi").select("doc_id", "text", "th")
+
+    def buckets(self) -> tuple[DataFrame, DataFrame]:
+        """(bucket, c, ns): classes with an n-gram in their prefixes in common; and (c, n, bits) of these classes."""
+        spark, k, threshold = self.rows.sparkSession, self.k, self.threshold
+        common = spark.sparkContext.broadcast(self.common)
+        rows = save(self.rows.mapInArrow(lambda it: _prefix_rows(it, k, threshold, *common.value), PREFIXES), "prefixes")
+        each = rows.select("c", "n", F.expr("inline(transform(tokens, (t, i) -> struct(t AS token, i < short AS short, i >= calm AS hot)))"))
+        each = each.select("token", "c", (F.col("n") * 2 + F.col("short").cast("long")).alias("ns"), "hot")
+        calm = each.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "bucket long, c long, ns long")
+        hot = each.where("hot").select(F.col("token").alias("bucket"), "c", "ns")
+        found = save(calm.unionByName(hot).distinct(), "buckets")
+        bits = save(rows.join(found.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "bitmaps")
+        discard(rows)
+        return found, bits
+
+    def hub_pairs(self, buckets: DataFrame, hubs: DataFrame, bits: DataFrame) -> DataFrame:
+        """(a, b): each bucket's hubs a with its other classes b, where the filter lets them through."""
+        threshold = self.threshold
+        both = buckets.join(hubs, "bucket").select("c", F.explode(F.expr("CASE c WHEN low THEN array() WHEN high THEN array(low) ELSE array(low, high) END")).alias("a"))
+        pairs = both.select("a", F.col("c").alias("b")).distinct()
+        of = lambda x: bits.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+        near = pairs.join(of("a").drop("bits_a"), "a").join(of("b").drop("bits_b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").drop("na", "nb")
+        return near.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda it: _may_link(it, threshold), "a long, b long")
+
+    def across(self, rows: DataFrame, bits: DataFrame, most: int) -> DataFrame:
+        """(a, b, held_back) over rows (bucket, c, ns, part): pairs in different parts that the filter lets through.
+
+        A bucket of more than TILE_SETS classes is dealt in tiles: its most frequent part against all others, and those
+        among themselves. Pairs within the most frequent part, however large, meet nowhere.
+        """
+        threshold = self.threshold
+        per = rows.groupBy("bucket", "part").agg(F.count("*").alias("m"))
+        mixed = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("part", F.struct("m", "part")).alias("main")).where("parts > 1")
+        blocks = lambda n: F.ceil(n / TILE_SETS).cast("int")
+        at = rows.join(save(mixed, "mixed"), "bucket").withColumns({"others": blocks(F.col("m") - F.col("most")), "mains": blocks(F.col("most")), "h": F.xxhash64("c")})
+        own = "CAST(pmod(h, {}) AS INT)".format
+        tile = "struct({} AS i, {} AS j, {} AS side)".format
+        tiles = f"""CASE WHEN m <= {TILE_SETS} THEN array({tile("0", "0", "0")})
+            WHEN part = main THEN transform(sequence(0, others - 1), x -> {tile("x", f"others + {own('mains')}", "1")})
+            ELSE concat(transform(sequence(0, others - 1), x -> {tile(f"least(x, {own('others')})", f"greatest(x, {own('others')})", f"IF({own('others')} > x, 1, 0)")}),
+                transform(sequence(0, mains - 1), x -> {tile(own("others"), "others + x", "0")})) END"""
+        dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", "bits"), "c")
+        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(lambda it: _across(it, threshold, most), "a long, b long, held_back boolean")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar enough, saved. Each set's segments meet its hubs' by fragment."""
+        k, threshold = self.k, self.threshold
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        segments = self.texts(ends).mapInArrow(lambda it: _segments(it, k), "sc long, fragment int, grams binary")
+        chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SETS).alias("chunks"))
+        dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
+        sides = dealt.select("a", "chunk", F.lit(1).alias("side"), F.col("b").alias("c")).unionByName(dealt.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("c")).distinct())
+        met = sides.join(segments, F.col("c") == F.col("sc")).select("a", "chunk", "fragment", "side", "c", "grams")
+        by = ("a", "chunk", "fragment")
+        counted = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_partial, "a long, b long, overlap long")
+        sizes = lambda x: self.classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"))
+        total = counted.groupBy("a", "b").agg(F.sum("overlap").alias("o")).join(sizes("a"), "a").join(sizes("b"), "b")
+        return save(total.where(f"100 * o >= {threshold} * (na + nb - o)").select("a", "b"), "linked")
+
+    def components(self) -> DataFrame:
+        """(c, part) of every class that links with another; part is the smallest class that links reach."""
+        buckets, bits = self.buckets()
+        hubs = save(buckets.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")), "hubs")
+        pairs = save(self.hub_pairs(buckets, hubs.drop("m"), bits), "pairs")
+        links = self.verified(pairs)
+        rest = save(buckets.join(hubs.where("m > 3").drop("m"), "bucket").where("c <> low AND c <> high").select("bucket", "c", "ns"), "rest")
+        hung = lambda edges: connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("part"))
+        parts = hung(links)
+        for most in (FIRST_PAIRS, 2**62):
+            now = save(rest.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed")
+            found = save(self.across(now, bits, most), "across")
+            if found.isEmpty():
+                break
+            new = self.verified(found.select("a", "b").distinct())
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                parts = hung(links)
+            if found.where("held_back").isEmpty():
+                break
+        for table in (buckets, bits, hubs, pairs, rest):
+            discard(table)
+        return parts
+
+    def n_links(self, parts: DataFrame) -> DataFrame:
+        """(c, links) of every class that links with another."""
+        k, threshold = self.k, self.threshold
+        members = save(parts.join(self.classes, "c").select(F.col("part").alias("cluster"), F.col("c").alias("doc"), "n", "m"), "members")
+        sets = self.texts(members.select(F.col("doc").alias("c"))).mapInArrow(lambda it: _tokens(it, k), "_doc long, grams binary")
+        dealt = _tiles(members, threshold).join(sets, F.col("doc") == F.col("_doc")).drop("_doc")
+        return dealt.repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR).mapInArrow(lambda it: _count(it, threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("others"))
+
+    def result(self, links: bool) -> DataFrame:
+        parts = save(self.components(), "parts")
+        known = self.classes.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c"))
+        least = known.groupBy("part").agg(F.min("class_id").alias("component_id"))
+        known = known.join(least, "part").select("c", "class_id", "m", "component_id")
+        if links:
+            known = known.join(self.n_links(parts), "c", "left")
+        return self.sets.join(save(known, "known"), "c", "left")
+
+
+def join(docs: DataFrame, key: str, text: str, k: int = 3, threshold: int = 90, links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, class_id) of every row; n_links only if links is true.
 
     Two rows link when 100 * intersection >= threshold * union of their sets of k-word n-grams. component_id is the
     smallest doc_id that links reach, n_links the number of rows a row links with, class_id the smallest doc_id with an
     equal set. Rows without words, or with a null text, link with nothing, and their component is their own id. key: a
-    column of integers; rows with a null key count as links of others and take the component of their set, or null.
-    Repeated rows are copies. Sets are compared by the 64-bit hashes of n-grams. threshold: 50 to 100.
+    column of integers. Rows are told apart by their sets, not by the key: rows with a null key, and several texts with
+    one key, link like others; only null ids can't be the smallest, and where there are no others both ids are null.
+    Repeated rows are copies. Sets, and n-grams, are compared by 64-bit hashes. threshold: 50 to 100.
+    Without links the work does not grow with the square of a group of near copies; see the module's head.
     """
+    found = _checked(docs, key, text, k, threshold).result(links)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        columns.append(F.when(F.col("n") > 0, F.col("m") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).alias("n_links"))
+    return found.select(*columns, F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def _checked(docs: DataFrame, key: str, text: str, k: int, threshold: int) -> _Join:
     if not 50 <= threshold <= 100:
         raise ValueError("threshold must be 50 to 100 percent")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = save(rows.mapInArrow(lambda it: _describe(it, k), SETS), "sets")
-    often = described.where("doc_id IS NULL AND n = -1").groupBy("s1").agg(F.sum("s2").alias("times")).orderBy(F.desc("times"), "s1").limit(COMMON_MOST)
-    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("s1").collect()], np.int64).view(np.uint64)))  # at most COMMON_MOST
-    sets = described.where("n >= 0")
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m")).where("class_id IS NOT NULL")
-    classes = save(classes, "classes")
-
-    signed = rows.where("doc_id IS NOT NULL").mapInArrow(lambda it: _sign(it, k, threshold, common.value), "key long, a long, b long")
-    pairs = save(signed.repartition("key").mapInArrow(_meet, "a long, b long").distinct(), "pairs")
-    clusters = connected_components(pairs, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    members = clusters.join(classes, F.col("doc") == F.col("class_id")).select("cluster", "doc", "n", "m")
-    crowded = members.groupBy("cluster").count().where("count > 1").select("cluster")
-    members = save(members.join(crowded, "cluster", "left_semi"), "members")
-    needed = rows.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    grams = needed.mapInArrow(lambda it: _tokens(it, k), "_doc long, grams binary")
-    tiles = _tiles(members, threshold).join(grams, F.col("doc") == F.col("_doc")).drop("_doc")
-    counted = save(tiles.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(lambda it: _count(it, threshold), "a long, b long, links long"), "links")
-
-    reached = connected_components(counted, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
-    links = counted.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("others"))
-    known = save(classes.join(reached, "class_id", "left").join(links, "class_id", "left"), "known").select("n", "s1", "s2", "class_id", "m", "component_id", "others")
-    found = sets.join(known, ["n", "s1", "s2"], "left")
-    return found.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "class_id", "doc_id").alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce("m", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).otherwise(0).alias("n_links"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-    )
+    return _Join(docs, key, text, k, threshold)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs, with their columns, less those of whose component another row has a smaller key. Rows with a null
-    key stay, and so do all of several rows with one key."""
-    gone = join(docs, key, text, k, threshold).where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    key stay, and so do several rows with one key and one text. Rows that go are few enough to broadcast, or each row of
+    docs moves once."""
+    found = _checked(docs, key, text, k, threshold).result(links=False)
+    gone = found.where("n > 0 AND component_id < doc_id").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_text")).distinct()
+    return docs.join(sized(save(gone, "gone")), (docs[key] == F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_gone_text")), "left_anti")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

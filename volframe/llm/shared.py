@@ -41,6 +41,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """ids, a narrow table, marked for broadcast if a count shows that it is small enough."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(ids) if few else ids
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
