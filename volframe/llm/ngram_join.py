@@ -24,9 +24,11 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +36,9 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import discard, read, save, sized
-from .tokenizing import groups, texts_of
 
-#: Words whose hashes a Python worker keeps.
-CACHE_WORDS = 500_000
+#: Bytes of text that are hashed at a time, and that are made into sets at a time.
+HASH_BYTES, RUN_BYTES = 1 << 19, 1_000_000
 #: The commonest n-grams, which go last in the global order: those of this share of the documents of some task's stretch,
 #: and at most so many. Either number changes only how many candidates there are, never the result.
 COMMON_SHARE, COMMON_MOST = 0.001, 200_000
@@ -55,17 +56,6 @@ BLOCK_NGRAMS, BLOCK_SETS, FRAGMENT_NGRAMS = 1_500_000, 384, 4096
 U = np.uint64
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them evenly."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -73,16 +63,71 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def ngram_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+#: A word's hash is a polynomial over its bytes, modulo 2^64, with a random number for each byte; A-Z have those of a-z.
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(20).integers(1, 2**64 - 1, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+
+
+@lru_cache(maxsize=1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words on end, words of each text) of texts whose bytes lie between the offsets."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    inside = ~_BLANK[data]
+    cut = np.zeros(len(data) + 1, bool)  # where no word goes on from the byte before
+    cut[offsets] = True
+    cut[1:-1] |= ~inside[:-1]
+    starts = np.flatnonzero(inside & cut[:-1])
+    cut[:-1] |= ~inside
+    ends = np.flatnonzero(inside & cut[1:]) + 1
+    h = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + HASH_BYTES, side="right")))
+        size = int(ends[to - 1] - first)
+        powers, inverse = _tables(HASH_BYTES if size <= HASH_BYTES else 1 << size.bit_length())
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[first : first + size]] * powers[:size], out=total[1:])
+        h[at:to] = (total[ends[at:to] - first] - total[starts[at:to] - first]) * inverse[starts[at:to] - first]
+        at = to
+    h = _mix(h + (ends - starts).astype(np.uint64) * U(0x632BE59BD9B4E019))
+    return h, np.bincount(np.searchsorted(offsets, starts, side="right") - 1, minlength=len(offsets) - 1)
+
+
+def _runs_of(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(index of the first, texts) for runs of about RUN_BYTES; null is the empty text. A longer text stands alone."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
+def ngram_sets(texts: pa.Array | list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, the sets' n-grams on end, each set ascending).
 
     A-Z are lower-cased; words are what ASCII white space separates. Of a text with 1 to k - 1 words the whole sequence
     is the only n-gram; a text without words has the empty set.
     """
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((x for w in words for x in map(_words.__getitem__, w)), np.uint64, int(counts.sum()))
-    doc = np.repeat(np.arange(len(words)), counts)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    h, counts = _word_hashes(data, offsets - offsets[0])
+    doc = np.repeat(np.arange(len(counts)), counts)
     n = len(h)
     grams = h.copy()
     for j in range(1, min(k, n)):
@@ -93,13 +138,16 @@ def ngram_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     grams, owner = _mix(grams[whole]), doc[whole]
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        few = [xxhash.xxh64_intdigest(b" ".join(words[i]), seed=int(counts[i])) for i in short]
+        ends = np.cumsum(counts)
+        few = [xxhash.xxh64_intdigest(h[ends[i] - counts[i] : ends[i]].tobytes(), seed=int(counts[i])) for i in short]
         grams, owner = np.concatenate([grams, np.array(few, np.uint64)]), np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
+        order = np.argsort(owner, kind="stable")
+        grams, owner = grams[order], owner[order]
+    for begin, end in itertools.pairwise(np.searchsorted(owner, np.arange(len(counts) + 1)).tolist()):
+        grams[begin:end].sort()
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    return np.bincount(owner[new], minlength=len(texts)), grams[new]
+    return np.bincount(owner[new], minlength=len(counts)), grams[new]
 
 
 def _run_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -154,7 +202,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(np.full(m, -1)), pa.array(times[often].astype(np.int64))], names)
 
     for b in batches:
-        for at, run in groups(texts_of(b)):
+        for at, run in _runs_of(_texts(b)):
             sizes, grams = ngram_sets(run, k)
             c = pa.array(classes_of(sizes, grams), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes.astype(np.int64)), c], names)
@@ -242,7 +290,7 @@ PREFIXES = "c long, n long, bits binary, short int, calm int, tokens array<long>
 def _prefix_rows(batches: Iterator[pa.RecordBatch], k: int, threshold: int, common: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for b in batches:
-        for _, run in groups(texts_of(b)):
+        for _, run in _runs_of(_texts(b)):
             sizes, grams = ngram_sets(run, k)
             c = classes_of(sizes, grams)
             new = once.new(c) & (sizes > 0)
@@ -253,6 +301,10 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], k: int, threshold: int, comm
             yield pa.RecordBatch.from_arrays(columns, ["c", "n", "bits", "short", "calm", "tokens"])
 
 
+def _texts(b: pa.RecordBatch) -> pa.Array:
+    return b.column(b.schema.get_field_index("text"))
+
+
 def _column(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     c = b.column(b.schema.get_field_index(name))
     return c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()
@@ -365,7 +417,7 @@ def _segments(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     """(c, fragment, grams): the sets cut by the fragments of the hashes' order; empty segments are left out."""
     once = _Once()
     for b in batches:
-        for _, run in groups(texts_of(b)):
+        for _, run in _runs_of(_texts(b)):
             sizes, grams = ngram_sets(run, k)
             c = classes_of(sizes, grams)
             new = once.new(c)
@@ -384,7 +436,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counted(held: list[pa.Table]) -> pa.RecordBatch:
         rows = pa.concat_tables(held).combine_chunks()
         a, chunk, fragment, side, c = (_column(rows, x) for x in ("a", "chunk", "fragment", "side", "c"))
-        size = np.asarray(pa.compute.binary_length(rows["grams"])) // 8
+        size = np.asarray(pc.binary_length(rows["grams"])) // 8
         values = np.frombuffer(b"".join(rows["grams"].to_pylist()), np.uint64)
         group = _mix(_mix(a.view(np.uint64)) + (chunk * FRAGMENTS + fragment).astype(np.uint64))
         keys = _mix(values + np.repeat(group, size))
@@ -418,7 +470,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for b in batches:
-        for _, run in groups(texts_of(b)):
+        for _, run in _runs_of(_texts(b)):
             sizes, grams = ngram_sets(run, k)
             c = classes_of(sizes, grams)
             new = once.new(c)
