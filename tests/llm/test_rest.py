@@ -22,10 +22,22 @@ def test_cascade_stops_early(spark):
     first, second = quality_rules.Rule("all", "true", ()), quality_rules.Rule("never", "raise_error('asked') IS NULL", ())
     df = spark.createDataFrame([("x",), (None,)], "text string")
     assert [r.rejected_by for r in quality_rules.cascade(df, [first, second]).collect()] == ["all", "all"]
-    order = quality_rules.ordered([(first, 0.1, 1.0), (second, 0.2, 10.0)])
+    order = quality_rules.ordered(quality_rules.Estimates((first, second), {"all": 1.0, "never": 10.0}, {frozenset(("all",)): 1, frozenset(("never",)): 2}))
     assert [r.name for r in order] == ["all", "never"]
 
 
+def test_order_is_by_rejections_left_per_cost():
+    """A rule that rejects only what an earlier one rejects goes last, though it is cheap."""
+    a, b, c = (quality_rules.Rule(x, "true", ()) for x in "abc")
+    found = quality_rules.Estimates((a, b, c), {"a": 1.0, "b": 1.2, "c": 9.0}, {frozenset("ab"): 50, frozenset("c"): 5, frozenset(): 100})
+    assert [r.name for r in quality_rules.ordered(found)] == ["a", "c", "b"]
+
+
+def test_rules_cost(odd):
+    found = quality_rules.estimate(odd, sample_rows=10_000)
+    assert sum(found.failing.values()) == odd.count() and min(found.cost.values()) >= 0 and found.cost["repeats"] > found.cost["symbols"] / 2
+
+
 def test_rules_on_nothing(none):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep_good(none).count() == 0
 

@@ -42,7 +42,7 @@ HASH_BYTES, RUN_BYTES = 1 << 19, 1_000_000
 #: The commonest n-grams, which go last in the global order: those of this share of the documents of some task's stretch,
 #: and at most so many. Either number changes only how many candidates there are, never the result.
 COMMON_SHARE, COMMON_MOST = 0.001, 200_000
-STRETCH_NGRAMS = 3_000_000
+STRETCH_NGRAMS = 2_000_000
 #: An n-gram of more documents than this makes a bucket that is never gathered, and whose pairs are dealt in tiles.
 HOT_DOCS = 4096
 #: Classes in a tile of a bucket, and pairs of two components that the earlier round takes from one.

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, read, save
+
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+#: Rows of the random sample that sets the rules' order.
+SAMPLE_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -84,25 +88,65 @@ def measure(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     return docs.drop(*(x for x in MEASURES if x not in names))
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
-    """Each rule with the share of a sample it rejects and its cost in seconds on that sample.
+def _cpu_seconds(df: DataFrame) -> float:
+    """The CPU seconds that Spark's own metrics give for the tasks of one run of df."""
+    context, group = df.sparkSession.sparkContext, f"rules-{uuid.uuid4().hex}"
+    before = context.getLocalProperty("spark.jobGroup.id"), context.getLocalProperty("spark.job.description")
+    context.setJobGroup(group, "cost of a quality rule")
+    try:
+        df.collect()  # one row
+    finally:
+        for key, value in zip(("spark.jobGroup.id", "spark.job.description"), before, strict=True):
+            context.setLocalProperty(key, value)
+    scala = context._jsc.sc()
+    scala.listenerBus().waitUntilEmpty()
+    tracker, total = context.statusTracker(), 0
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            total += scala.statusStore().lastStageAttempt(stage).executorCpuTime()
+    return total / 1e9
 
-    The sample (at most sample_rows rows, a parameter of the estimate alone) only sets the order of the cascade,
-    never which documents are kept. An empty table gives shares of 0.
-    """
-    spark = docs.sparkSession
-    sample = spark.createDataFrame(docs.select("text").limit(sample_rows).collect(), "text string").repartition(1)
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        n, bad = measure(sample, rule.needs).agg(F.count("*"), F.count_if(F.expr(rule.fails))).first()
-        found.append((rule, bad / max(1, n), time.perf_counter() - began))
-    return found
 
+@dataclass(frozen=True)
+class Estimates:
+    """cost: seconds of each rule over the sample. failing: how many rows of the sample fail exactly these rules."""
+
+    rules: tuple[Rule, ...]
+    cost: dict[str, float]
+    failing: dict[frozenset[str], int]
 
-def ordered(estimates: Sequence[tuple[Rule, float, float]]) -> list[Rule]:
-    """Most rejections per second first; by name where that is equal."""
-    return [rule for rule, *_ in sorted(estimates, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))]
+
+def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> Estimates:
+    """What each rule costs, in the tasks' CPU seconds, and which rules fail together, on a random sample of documents.
+
+    The sample (about sample_rows rows, a parameter of the estimate alone) stays in Spark. It only sets the order of the
+    cascade, never which documents are kept. At most 2^(number of rules) counts reach the driver.
+    """
+    n = docs.count()
+    drawn = docs.select("text").sample(fraction=min(1.0, sample_rows / max(1, n)), seed=1)
+    sample = save(drawn, "sample")
+    cost = {}
+    for rule in rules:
+        judged = measure(sample, rule.needs).agg(F.count_if(F.expr(rule.fails)))
+        judged.collect()  # the first run also compiles
+        cost[rule.name] = _cpu_seconds(judged)
+    every = measure(sample, list(dict.fromkeys(x for r in rules for x in r.needs)))
+    flags = every.select(*(F.coalesce(F.expr(r.fails), F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect() if rules else []
+    discard(sample)
+    return Estimates(tuple(rules), cost, {frozenset(r.name for r in rules if row[r.name]): row["count"] for row in flags})
+
+
+def ordered(found: Estimates) -> list[Rule]:
+    """Each next rule is the one with most rejections a second among the rows that the rules before it let through; by
+    name where that is equal."""
+    order, left, passing = [], list(found.rules), dict(found.failing)
+    while left:
+        rejected = {r.name: sum(n for fails, n in passing.items() if r.name in fails) for r in left}
+        best = min(left, key=lambda r: (-rejected[r.name] / max(found.cost[r.name], 1e-9), r.name))
+        order.append(best)
+        left.remove(best)
+        passing = {fails: n for fails, n in passing.items() if best.name not in fails}
+    return order
 
 
 def _steps(rules: Sequence[Rule], known: tuple[str, ...] = ()) -> str:
@@ -118,36 +162,31 @@ def _steps(rules: Sequence[Rule], known: tuple[str, ...] = ()) -> str:
     return body
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule], rejected_by: str = "rejected_by") -> DataFrame:
+def cascade(docs: DataFrame, rules: Sequence[Rule], rejected_by: str = "rejected_by", known: Sequence[str] = ()) -> DataFrame:
     """docs with the name of the first rule, in the order given, that a document fails; null if it passes all.
 
     The cascade stops at the first rule that fails, so dear rules run only on what earlier ones let through. Null and
-    empty texts have no words and fail rules on length.
+    empty texts have no words and fail rules on length. known: measures that docs already has as columns.
     """
-    return docs.withColumn(rejected_by, F.expr(_steps(rules)))
+    return docs.withColumn(rejected_by, F.expr(_steps(rules, tuple(known))))
 
 
-def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> DataFrame:
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that pass every rule, with their own columns, by the cascade in its estimated order."""
     order = ordered(estimate(docs, rules, sample_rows))
     return cascade(docs, order, "_rejected_by").where("_rejected_by IS NULL").drop("_rejected_by")
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> DataFrame:
-    """doc_id, all measures, base_failed and kept (false if any rule rejects) of every document."""
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, the five measures that are asked of every document, base_failed and kept (false if any rule rejects). The
+    cascade finds those measures ready and makes the others only for documents that come to a rule which needs them."""
     order = ordered(estimate(docs, rules, sample_rows))
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    kept = F.lit(True)
-    for rule in reversed(order):
-        kept = F.when(F.expr(rule.fails), F.lit(False)).otherwise(kept)
-    return measure(docs.select("doc_id", "text"), names).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), kept.alias("kept")
-    )
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = cascade(measure(docs.select("doc_id", "text"), names), order, "_rejected_by", names)
+    return judged.select("doc_id", *names, F.expr(BASE_FAILED).alias("base_failed"), F.col("_rejected_by").isNull().alias("kept"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from .shared import read
-
     return judge(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 

@@ -13,11 +13,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Chunks, and lower-case words, that a Python worker keeps before it starts afresh: a bound on its memory.
+#: Chunks, and lower-case words, that a Python worker keeps before it drops the rarer ones: a bound on its memory.
 CACHE_CHUNKS = 300_000
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 #: Characters that are taken through numpy at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,6 +29,7 @@ def tokenizer_file(name: str) -> str:
 
 class ChunkStore:
     """Arrays of numbers for each distinct chunk, all arrays of a chunk equally long, and gathered for many chunks at once.
+    When it holds `most` chunks it keeps those that came more than once since the last time, if they are few enough.
 
     learn: gets new chunks and returns, for each, a tuple of equally long lists.
     """
@@ -41,12 +42,23 @@ class ChunkStore:
         self.at: dict[str, int] = {}
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
         self.values = [np.zeros(0, k) for k in self.kinds]
 
+    def shrink(self) -> None:
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > self.most // 2:
+            return self.clear()
+        chunks = np.array(list(self.at), object)[kept]  # in the order of their numbers
+        self.lengths, self.values = self.gather(kept)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.at = dict(zip(chunks, range(len(kept)), strict=True))
+        self.used = np.zeros(len(kept), np.int64)
+
     def rows(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk, after learning those that are new."""
         if len(self.at) > self.most:
-            self.clear()
+            self.shrink()
         if new := list(set(chunks).difference(self.at)):
             found = self.learn(new)
             n = len(self.at)
@@ -57,7 +69,9 @@ class ChunkStore:
             for k, kind in enumerate(self.kinds):
                 new_values = np.concatenate([np.asarray(x[k], kind) for x in found]) if isinstance(found[0][k], np.ndarray) else np.fromiter((v for x in found for v in x[k]), kind, int(lengths.sum()))
                 self.values[k] = np.concatenate([self.values[k], new_values])
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        rows = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        self.used = np.bincount(rows, minlength=len(self.at)) + np.pad(self.used, (0, len(self.at) - len(self.used)))
+        return rows
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(how many values each row gives, the values of all rows on end)."""
@@ -184,5 +198,6 @@ def shared(kind: type, *args):
     return kind(*args)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
+    """A batch's texts one after the other, so that not all of them are Python strings at once."""
+    return (x.as_py() for x in batch.column(batch.schema.get_field_index(column)))
