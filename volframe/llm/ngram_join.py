@@ -35,18 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import discard, read, save, sized
+from .shared import discard, giving_back, read, save, sized
 
 #: Bytes of text that are hashed at a time, and that are made into sets at a time.
 HASH_BYTES, RUN_BYTES = 1 << 19, 1_000_000
 #: The commonest n-grams, which go last in the global order: those of this share of the documents of some task's stretch,
 #: and at most so many. Either number changes only how many candidates there are, never the result.
 COMMON_SHARE, COMMON_MOST = 0.001, 200_000
-STRETCH_NGRAMS = 2_000_000
+STRETCH_NGRAMS = 1_000_000
 #: An n-gram of more documents than this makes a bucket that is never gathered, and whose pairs are dealt in tiles.
 HOT_DOCS = 4096
 #: Classes in a tile of a bucket, and pairs of two components that the earlier round takes from one.
-TILE_SETS, FIRST_PAIRS = 1024, 4
+TILE_SETS, FIRST_PAIRS = 512, 4
 #: Classes that a task remembers, so as to speak for each of them once.
 SEEN_CLASSES = 1_000_000
 #: Fragments of the global order, sets that meet one hub together, n-grams whose overlaps are counted at a time.
@@ -553,7 +553,7 @@ class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, threshold: int):
         self.k, self.threshold = k, threshold
         self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
-        described = save(self.rows.mapInArrow(lambda it: _describe(it, k), SETS), "sets")
+        described = save(self.rows.mapInArrow(giving_back(lambda it: _describe(it, k)), SETS), "sets")
         often = described.where("doc_id IS NULL AND n = -1").groupBy("th").agg(F.sum("c").alias("times")).orderBy(F.desc("times"), "th").limit(COMMON_MOST)
         most = sorted((r["th"] % 2**64, r["times"]) for r in often.collect())  # at most COMMON_MOST
         self.common = np.array([x for x, _ in most], np.uint64), np.array([x for _, x in most], np.int64)
@@ -569,10 +569,10 @@ class _Join:
         """(bucket, c, ns): classes with an n-gram in their prefixes in common; and (c, n, bits) of these classes."""
         spark, k, threshold = self.rows.sparkSession, self.k, self.threshold
         common = spark.sparkContext.broadcast(self.common)
-        rows = save(self.rows.mapInArrow(lambda it: _prefix_rows(it, k, threshold, *common.value), PREFIXES), "prefixes")
+        rows = save(self.rows.mapInArrow(giving_back(lambda it: _prefix_rows(it, k, threshold, *common.value)), PREFIXES), "prefixes")
         each = rows.select("c", "n", F.expr("inline(transform(tokens, (t, i) -> struct(t AS token, i < short AS short, i >= calm AS hot)))"))
         each = each.select("token", "c", (F.col("n") * 2 + F.col("short").cast("long")).alias("ns"), "hot")
-        calm = each.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "bucket long, c long, ns long")
+        calm = each.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(giving_back(_meet), "bucket long, c long, ns long")
         hot = each.where("hot").select(F.col("token").alias("bucket"), "c", "ns")
         found = save(calm.unionByName(hot).distinct(), "buckets")
         bits = save(rows.join(found.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "bitmaps")
@@ -582,11 +582,11 @@ class _Join:
     def hub_pairs(self, buckets: DataFrame, hubs: DataFrame, bits: DataFrame) -> DataFrame:
         """(a, b): each bucket's hubs a with its other classes b, where the filter lets them through."""
         threshold = self.threshold
-        both = buckets.join(hubs, "bucket").select("c", F.explode(F.expr("CASE c WHEN low THEN array() WHEN high THEN array(low) ELSE array(low, high) END")).alias("a"))
-        pairs = both.select("a", F.col("c").alias("b")).distinct()
+        near = f"100 * least(n, na) >= {threshold} * greatest(n, na) AND (n <= na AND ns % 2 = 1 OR na <= n AND hub.ns % 2 = 1)"
+        met = buckets.join(hubs, "bucket").select("c", "ns", F.explode(F.expr("CASE c WHEN low.c THEN array() WHEN high.c THEN array(low) ELSE array(low, high) END")).alias("hub"))
+        pairs = met.withColumns({"n": F.expr("ns DIV 2"), "na": F.expr("hub.ns DIV 2")}).where(near).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
         of = lambda x: bits.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-        near = pairs.join(of("a").drop("bits_a"), "a").join(of("b").drop("bits_b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").drop("na", "nb")
-        return near.join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda it: _may_link(it, threshold), "a long, b long")
+        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(giving_back(lambda it: _may_link(it, threshold)), "a long, b long")
 
     def across(self, rows: DataFrame, bits: DataFrame, most: int) -> DataFrame:
         """(a, b, held_back) over rows (bucket, c, ns, part): pairs in different parts that the filter lets through.
@@ -606,19 +606,19 @@ class _Join:
             ELSE concat(transform(sequence(0, others - 1), x -> {tile(f"least(x, {own('others')})", f"greatest(x, {own('others')})", f"IF({own('others')} > x, 1, 0)")}),
                 transform(sequence(0, mains - 1), x -> {tile(own("others"), "others + x", "0")})) END"""
         dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", "bits"), "c")
-        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(lambda it: _across(it, threshold, most), "a long, b long, held_back boolean")
+        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(giving_back(lambda it: _across(it, threshold, most)), "a long, b long, held_back boolean")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough, saved. Each set's segments meet its hubs' by fragment."""
         k, threshold = self.k, self.threshold
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        segments = self.texts(ends).mapInArrow(lambda it: _segments(it, k), "sc long, fragment int, grams binary")
+        segments = self.texts(ends).mapInArrow(giving_back(lambda it: _segments(it, k)), "sc long, fragment int, grams binary")
         chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SETS).alias("chunks"))
         dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
         sides = dealt.select("a", "chunk", F.lit(1).alias("side"), F.col("b").alias("c")).unionByName(dealt.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("c")).distinct())
         met = sides.join(segments, F.col("c") == F.col("sc")).select("a", "chunk", "fragment", "side", "c", "grams")
         by = ("a", "chunk", "fragment")
-        counted = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(_partial, "a long, b long, overlap long")
+        counted = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(giving_back(_partial), "a long, b long, overlap long")
         sizes = lambda x: self.classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"))
         total = counted.groupBy("a", "b").agg(F.sum("overlap").alias("o")).join(sizes("a"), "a").join(sizes("b"), "b")
         return save(total.where(f"100 * o >= {threshold} * (na + nb - o)").select("a", "b"), "linked")
@@ -626,10 +626,10 @@ class _Join:
     def components(self) -> DataFrame:
         """(c, part) of every class that links with another; part is the smallest class that links reach."""
         buckets, bits = self.buckets()
-        hubs = save(buckets.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")), "hubs")
+        hubs = save(buckets.groupBy("bucket").agg(F.min(F.struct("c", "ns")).alias("low"), F.max(F.struct("c", "ns")).alias("high"), F.count("*").alias("m")), "hubs")
         pairs = save(self.hub_pairs(buckets, hubs.drop("m"), bits), "pairs")
         links = self.verified(pairs)
-        rest = save(buckets.join(hubs.where("m > 3").drop("m"), "bucket").where("c <> low AND c <> high").select("bucket", "c", "ns"), "rest")
+        rest = save(buckets.join(hubs.where("m > 3").drop("m"), "bucket").where("c <> low.c AND c <> high.c").select("bucket", "c", "ns"), "rest")
         hung = lambda edges: connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("part"))
         parts = hung(links)
         for most in (FIRST_PAIRS, 2**62):
@@ -651,9 +651,9 @@ class _Join:
         """(c, links) of every class that links with another."""
         k, threshold = self.k, self.threshold
         members = save(parts.join(self.classes, "c").select(F.col("part").alias("cluster"), F.col("c").alias("doc"), "n", "m"), "members")
-        sets = self.texts(members.select(F.col("doc").alias("c"))).mapInArrow(lambda it: _tokens(it, k), "_doc long, grams binary")
+        sets = self.texts(members.select(F.col("doc").alias("c"))).mapInArrow(giving_back(lambda it: _tokens(it, k)), "_doc long, grams binary")
         dealt = _tiles(members, threshold).join(sets, F.col("doc") == F.col("_doc")).drop("_doc")
-        return dealt.repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR).mapInArrow(lambda it: _count(it, threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("others"))
+        return dealt.repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR).mapInArrow(giving_back(lambda it: _count(it, threshold)), "c long, links long").groupBy("c").agg(F.sum("links").alias("others"))
 
     def result(self, links: bool) -> DataFrame:
         parts = save(self.components(), "parts")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, read, save
+from .shared import giving_back, numbered, read, save
 from .tokenizing import WordEncoder, groups, shared, texts_of, tokenizer_file
 
 CAPACITY = 4096
@@ -123,7 +123,7 @@ def pack(runs: DataFrame, length: str, capacity: int = CAPACITY) -> DataFrame:
             )
 
     assert "_slot" in kinds.names
-    return slots.mapInArrow(place, out)
+    return slots.mapInArrow(giving_back(place), out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def cut(docs: DataFrame, key: str, text: str, tokenizer: str | None = None, capa
     path = tokenizer or tokenizer_file(TOKENIZER)
     schema = f"_key {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda it: _cut(it, path, capacity, end_id, with_ids), schema).withColumnRenamed("_key", key)
+    return rows.mapInArrow(giving_back(lambda it: _cut(it, path, capacity, end_id, with_ids)), schema).withColumnRenamed("_key", key)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
