@@ -128,6 +128,10 @@ def test_shards(spark, tmp_path):
         shards.strict_lookup(spark.createDataFrame([(0, "no")], "ordinal long, path string"), idx).collect()
     with pytest.raises(Exception, match="twice"):
         shards.strict_lookup(listed, idx.unionByName(idx)).collect()
+    some_missing = listed.unionByName(spark.sql("SELECT 3L AS ordinal, 'no' AS path"))
+    for read in (lambda df: df.count(), lambda df: df.select("path", "offset").collect(), lambda df: df.select("ordinal").collect()):
+        with pytest.raises(Exception, match="not in the index"):
+            read(shards.strict_lookup(some_missing, idx))
     spark.dataSource.register(shards.Shards)
     source = spark.read.format("shards").option("path", f"file://{tmp_path}").option("index", f"file://{tmp_path}/index").load()
     assert {r.path: r["values"] for r in source.collect()} == want

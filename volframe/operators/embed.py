@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from volframe.operators.patches import scatter, touches_mask
 
+#: The encoder that a Python worker has made, by the call that it serves.
+_made: dict[str, Callable] = {}
 #: Name -> factory(checkpoint) of an encoder: (pixels[N, P], coordinates[N, 3]) -> tokens[N + class tokens, D].
 ENCODERS: dict[str, Callable] = {}
 
@@ -35,19 +38,25 @@ def linear(checkpoint: dict) -> Callable:
 def embed_images(patches: DataFrame, key: str, encoder: str, checkpoint, class_tokens: int = 0) -> DataFrame:
     """(key, patch_id, token) of the patches that touch the mask, encoded image by image.
 
-    The encoder is made once for each task from a checkpoint that is broadcast: its size is the model's, not the data's.
+    A Python worker makes the encoder once, from a checkpoint that is broadcast: its size is the model's, not the data's.
     An image's patches are encoded together, as many as it has. Its first class_tokens tokens are dropped.
     """
     spark = patches.sparkSession
     held, factory = spark.sparkContext.broadcast(checkpoint), ENCODERS[encoder]
     kind = patches.schema[key].dataType.simpleString()
+    run = uuid.uuid4().hex
 
     def encode(group: pa.Table) -> pa.Table:
         t = group.sort_by("patch_id")
-        pixels = np.array(t.column("pixels").to_pylist(), float)
+        own = t.column("pixels").combine_chunks()
+        pixels = np.asarray(own.flatten().cast(pa.float64())).reshape(len(own), -1)
         at = np.stack([t.column(c).to_numpy() for c in ("gx", "gy", "gz")], 1)
-        tokens = np.asarray(factory(held.value)(pixels, at), float)[class_tokens:]
-        return pa.table({key: t.column(key), "patch_id": t.column("patch_id"), "token": pa.array(tokens.tolist(), pa.list_(pa.float64()))})
+        if run not in _made:
+            _made.clear()
+            _made[run] = factory(held.value)
+        tokens = np.ascontiguousarray(np.asarray(_made[run](pixels, at), float)[class_tokens:])
+        ends = np.arange(len(tokens) + 1, dtype=np.int32) * tokens.shape[1]
+        return pa.table({key: t.column(key), "patch_id": t.column("patch_id"), "token": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.ravel()))})
 
     inside = patches.where(touches_mask(F.col("mask"))).select(key, "patch_id", "gx", "gy", "gz", "pixels")
     return inside.groupBy(key).applyInArrow(encode, f"`{key}` {kind}, patch_id int, token array<double>")

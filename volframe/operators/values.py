@@ -31,11 +31,13 @@ def clipped_zscore(df: DataFrame, group: str, value: str, quantiles: tuple[float
     return clipped.withColumn(name, z).drop("_v", "_rank", "_n", "_low", "_high", "_c")
 
 
-def rle_runs(df: DataFrame, key: str, lengths: str) -> DataFrame:
-    """(key, run, start, length, inside): the runs of an alternating run-length mask, false first, and where each begins."""
-    runs = df.select(key, F.posexplode(lengths).alias("run", "length"))
+def rle_runs(df: DataFrame, key: str, lengths: str, *carried: str) -> DataFrame:
+    """(key, run, start, length, inside): the runs of an alternating run-length mask, false first, and where each begins;
+    and the columns carried. With some of these, a mask without runs has one row of a null run."""
+    explode = F.posexplode_outer if carried else F.posexplode
+    runs = df.select(key, *carried, explode(lengths).alias("run", "length"))
     before = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.select(key, "run", (F.sum("length").over(before) - F.col("length")).alias("start"), "length", (F.col("run") % 2 == 1).alias("inside"))
+    return runs.select(key, "run", (F.sum("length").over(before) - F.col("length")).alias("start"), "length", (F.col("run") % 2 == 1).alias("inside"), *carried)
 
 
 def checked_mask(lengths: Column, voxels: Column) -> Column:
@@ -60,9 +62,11 @@ def mask_scatter(df: DataFrame, key: str, lengths: str, values: str, scale: str)
 def mask_box(df: DataFrame, key: str, lengths: str, shape: str) -> DataFrame:
     """(key, x0, x1, y0, y1, z0, z1): the first voxel inside and the one after the last, by axis.
 
-    Computed from runs, and from their whole rows and planes, not from voxels. An empty mask is an error.
+    Computed from runs, and from their whole rows and planes, not from voxels: one shuffle, by key. An empty mask is an
+    error.
     """
-    runs = rle_runs(df.select(key, lengths), key, lengths).where("inside AND length > 0").join(df.select(key, shape), key)
+    runs = rle_runs(df.select(key, lengths, shape), key, lengths, shape)
+    within = F.col("inside") & (F.col("length") > 0)
     y_size, z_size = F.col(shape)[1], F.col(shape)[2]
     first, last = F.col("start"), F.col("start") + F.col("length") - 1
     plane, line = y_size * z_size, z_size
@@ -71,8 +75,7 @@ def mask_box(df: DataFrame, key: str, lengths: str, shape: str) -> DataFrame:
     full_plane, full_line = x(first) != x(last), F.floor(first / line) != F.floor(last / line)
     low_y, high_y = F.when(full_plane, 0).otherwise(y(first)), F.when(full_plane, y_size - 1).otherwise(y(last))
     low_z, high_z = F.when(full_line, 0).otherwise(first % line), F.when(full_line, z_size - 1).otherwise(last % line)
-    boxes = runs.groupBy(key).agg(
-        F.min(x(first)).alias("x0"), (F.max(x(last)) + 1).alias("x1"), F.min(low_y).alias("y0"), (F.max(high_y) + 1).alias("y1"), F.min(low_z).alias("z0"), (F.max(high_z) + 1).alias("z1")
-    )
+    low, high = (lambda v: F.min(F.when(within, v))), (lambda v: F.max(F.when(within, v)) + 1)
+    boxes = runs.groupBy(key).agg(low(x(first)).alias("x0"), high(x(last)).alias("x1"), low(low_y).alias("y0"), high(high_y).alias("y1"), low(low_z).alias("z0"), high(high_z).alias("z1"))
     none = F.when(F.col("x0").isNull(), F.raise_error(F.lit("mask is empty"))).otherwise(F.col("x0"))
-    return df.select(key).join(boxes, key, "left").select(key, none.cast("int").alias("x0"), *(F.col(c).cast("int").alias(c) for c in ("x1", "y0", "y1", "z0", "z1")))
+    return boxes.select(key, none.cast("int").alias("x0"), *(F.col(c).cast("int").alias(c) for c in ("x1", "y0", "y1", "z0", "z1")))

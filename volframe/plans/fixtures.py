@@ -52,9 +52,9 @@ VOXELS = 64
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed volumes: (path, label, values, scale, mask_rle, shape, affine) and the dense mask and voxels they come from."""
-    e = table(spark, sf_dir, "embeddings").selectExpr("concat('vol-', vec_id) AS path", "label", "transform(embedding, x -> CAST(x AS DOUBLE)) AS dense").withColumn("mask", F.expr("transform(dense, x -> x > -0.1D)"))
+    e = table(spark, sf_dir, "embeddings").selectExpr("concat('vol-', vec_id) AS path", "label", "inline(transform(array(transform(embedding, x -> CAST(x AS DOUBLE))), d -> struct(d AS dense, transform(d, x -> x > -0.1D) AS mask)))")
     change = "filter(sequence(0, 63), i -> i > 0 AND mask[i] <> mask[i - 1])"
-    e = e.withColumn("edges", F.expr(f"concat(IF(mask[0], array(0, 0), array(0)), {change}, array(64))"))
+    e = e.select("*", F.expr(f"explode(array(concat(IF(mask[0], array(0, 0), array(0)), {change}, array(64)))) AS edges"))  # each array is made once a row
     return e.selectExpr(
         "path", "label", "dense", "mask", "transform(filter(arrays_zip(dense, mask), v -> v.mask), v -> CAST(rint(v.dense * 1000D) AS INT)) AS values", "0.001D AS scale",
         "transform(sequence(1, size(edges) - 1), i -> CAST(edges[i] - edges[i - 1] AS BIGINT)) AS mask_rle", "array(4, 4, 4) AS shape", f"{AFFINE_SPARK} AS affine",

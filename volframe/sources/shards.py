@@ -40,12 +40,13 @@ def missing_members(filelist: DataFrame, index: DataFrame) -> DataFrame:
 def strict_lookup(filelist: DataFrame, index: DataFrame) -> DataFrame:
     """(ordinal, path, shard, offset, size) of every listed path, in list order, repeats and all.
 
-    A listed path that the index lacks is an error when its row is made, and so is a path that the index has twice.
+    A listed path that the index lacks is an error, and so is a path that the index has twice, whichever columns are read
+    and also where rows are only counted: a filter makes sure of each row.
     """
     unique = index.groupBy("path").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("size").alias("size"), F.count("*").alias("_n"))
     found = filelist.join(unique, "path", "left")
-    wrong = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("not in the index: "), F.col("path")))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("twice in the index: "), F.col("path")))).otherwise(F.col("shard"))
-    return found.select("ordinal", "path", wrong.alias("shard"), "offset", "size").orderBy("ordinal")
+    sure = F.when(F.col("_n") == 1, F.lit(True)).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("twice in the index: "), F.col("path")))).otherwise(F.raise_error(F.concat(F.lit("not in the index: "), F.col("path"))))
+    return found.where(sure).select("ordinal", "path", "shard", "offset", "size").orderBy("ordinal")
 
 
 def decode(raw: bytes) -> tuple:
