@@ -97,6 +97,25 @@ def test_media(spark, odd, odd_rows, tmp_path, monkeypatch):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_media_keys(spark, tmp_path):
+    """Keys come back as they were: null, empty, with a slash or a zero byte."""
+    keys = [None, "", "a\x00b", "a/b", "é%2F", ".png"]
+    media.store(spark.createDataFrame([(k, "x") for k in keys], "k string, text string"), "k", "text", f"file://{tmp_path}/k")
+    assert sorted((r.key for r in spark.read.format("media_archives").load(f"file://{tmp_path}/k").collect()), key=str) == sorted(keys, key=str)
+
+
+def test_records_of_any_time():
+    for at in (-(2**63), -1, 0, 10**12, 2**63 - 1):
+        assert warc._parsed(warc._record("http://a/", at, "k", b"x" * 9, hashlib.sha256(b"x" * 9).hexdigest(), None))["payload_bytes"] == 9
+
+
+def test_shared_root_has_a_scheme(spark):
+    from volframe.llm import shared
+
+    for given, want in (("/tmp/x/", "file:///tmp/x"), ("file:/tmp/x", "file:///tmp/x"), ("s3a://b/x", "s3a://b/x")):
+        assert shared.qualified(spark, given) == want
+
+
 def test_media_tries_a_member_again(tmp_path):
     """A member that comes damaged is read again on its own; one that stays damaged is an error."""
     import zipfile

@@ -9,6 +9,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,10 @@ def feature(payload: bytes) -> str:
 
 
 def _open(uri: str):
+    """(file system, path) of a URI; s3a is what Hadoop calls s3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri("s3" + uri.removeprefix("s3a") if uri.startswith("s3a:") else uri)
 
 
 @dataclass
@@ -105,7 +107,8 @@ class ArchiveWriter(DataSourceArrowWriter):
                     archive, size = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED), 0
                     done.append(name)
                 image = to_image(payload)
-                archive.writestr(zipfile.ZipInfo(f"{n}/{n_bytes}/{'' if key is None else key}.png"), image)
+                own = "" if key is None else "/" + quote(key, safe="")
+                archive.writestr(zipfile.ZipInfo(f"{n}/{n_bytes}{own}.png"), image)
                 n += 1
                 size += len(image)
                 if size >= ARCHIVE_BYTES:
@@ -174,7 +177,8 @@ class ArchiveReader(DataSourceReader):
         for m in members:
             image = self.member(opened, m.header_offset, m.file_size, m.CRC)
             payload = from_image(image)
-            _, n_bytes, key = m.filename.removesuffix(".png").split("/", 2)
+            _, n_bytes, *own = m.filename.removesuffix(".png").split("/")
+            key = unquote(own[0]) if own else None
             for column, name in zip(rows, self.names, strict=True):
                 column.append(VALUES[name](key, int(n_bytes), payload, image))
             size += len(payload) + len(image)
@@ -210,7 +214,7 @@ TYPES = {
     "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
 }
 VALUES = {
-    "key": lambda key, n, payload, image: key or None,
+    "key": lambda key, n, payload, image: key,
     "n_bytes": lambda key, n, payload, image: n,
     "payload": lambda key, n, payload, image: payload,
     "media": lambda key, n, payload, image: image,

@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder as a URI with a scheme, which means the same to Spark and to pyarrow on every machine."""
+    if ":" not in root.split("/")[0]:  # without a scheme it lies on Hadoop's default file system
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString()
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root.removeprefix("file:")
+    return root.rstrip("/")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only in local mode, where one machine does all, may it be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,7 +29,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return root.rstrip("/")
+    return qualified(spark, root)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

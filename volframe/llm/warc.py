@@ -21,6 +21,9 @@ LEAST_REVISITED = 100
 #: An archive is closed after this many bytes; this many bytes of an archive are read by one task.
 ARCHIVE_BYTES, RANGE_BYTES = 64_000_000, 16_000_000
 BATCH_ROWS = 2_000
+#: Rows of a run that a merge holds as Python values at a time, and the times that a record's date can state.
+HEAD_ROWS = 256
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
 def url_key(url: Column) -> Column:
@@ -93,7 +96,8 @@ CAPTURE = "url_key string, captured_at long, page_key string, archive string, fi
 def _record(url: str | None, at: int, key: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     import datetime
 
-    day = datetime.datetime.fromtimestamp(at, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    near = min(max(at, FIRST_SECOND), LAST_SECOND)  # a date has four digits of the year; the index keeps the time itself
+    day = (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=near)).isoformat() + "Z"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
@@ -193,7 +197,8 @@ def merge(captures: DataFrame, run: str, by: Sequence[str]) -> DataFrame:
     """captures in the global order of `by`: its partitions, one after the other, are sorted.
 
     captures is saved and each run in it is sorted by `by`. Ranges of `by` go to one task each; there the pieces of the
-    runs are merged by a loser tree. With a column in `by` that tells rows apart, no value of the others makes a range
+    runs are merged by a loser tree. A task holds a range's narrow rows as Arrow data, and of each run HEAD_ROWS rows as
+    values; Spark sizes the ranges. With a column in `by` that tells rows apart, no value of the others makes a range
     large. Nulls come first; ties keep the order of their runs.
     """
     names, schema = captures.columns, captures.schema
@@ -203,8 +208,20 @@ def merge(captures: DataFrame, run: str, by: Sequence[str]) -> DataFrame:
     ranged = captures.repartitionByRange(*(F.asc_nulls_first(c) for c in by)).sortWithinPartitions(run, *(F.asc_nulls_first(c) for c in by))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]  # one range of narrow rows
-        runs = [iter(list(g)) for _, g in itertools.groupby(rows, key=lambda r: r[of])]
+        pieces: dict[str | None, list[pa.RecordBatch]] = {}
+        for b in batches:  # rows of a run stand together
+            at = 0
+            for name, some in itertools.groupby(b.column(of).to_pylist()):
+                n = sum(1 for _ in some)
+                pieces.setdefault(name, []).append(b.slice(at, n))
+                at += n
+
+        def rows(run: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for b in run:
+                for at in range(0, b.num_rows, HEAD_ROWS):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, HEAD_ROWS).columns), strict=True)
+
+        runs = [rows(run) for run in pieces.values()]
         for some in itertools.batched(LoserTree(runs, key), BATCH_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), pa_schema, strict=True)], names)
 
