@@ -128,7 +128,7 @@ def test_tiles(spark, monkeypatch, hot):
     """Buckets of more classes than a tile holds, n-grams that count as hot, and more pairs than the earlier round takes."""
     monkeypatch.setattr(ngram_join, "TILE_SETS", 8)
     monkeypatch.setattr(ngram_join, "HOT_DOCS", hot)
-    monkeypatch.setattr(ngram_join, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(ngram_join, "FIRST_PAIRS", (1,))
     monkeypatch.setattr(ngram_join, "HUB_SETS", 5)
     monkeypatch.setattr(ngram_join, "COUNT_NGRAMS", 300)
     rng = random.Random(hot)

@@ -11,8 +11,8 @@ documents have them. Texts with equal sets of n-grams are one class and take par
 3. Overlaps. The order of the hashes is cut into fragments, and with it each set into segments. Segments of candidates
    meet by fragment, a row (pair, overlap) comes out of each, and rows are summed per pair.
 4. Which pairs are counted. First each member of a bucket with two of its members, the hubs. What then hangs together is
-   known to. Later rounds look only at pairs of a bucket that lie in different components and pass the filter: in one
-   round a few for each two components, in the last, if any were held back, all. So the components are those of all
+   known to. Later rounds look only at pairs of a bucket that lie in different components and pass the filter: in the
+   first rounds a few for each class, in the last, if any were held back, all. So the components are those of all
    links, while most pairs inside a large group of near copies are never looked at.
 5. Links, if asked for. Within each component, pairs of similar size are counted in blocks, fragment by fragment, and
    only each set's number of links leaves a block. That work grows with the square of the different texts of one
@@ -45,8 +45,8 @@ COMMON_SHARE, COMMON_MOST = 0.001, 200_000
 STRETCH_NGRAMS = 1_000_000
 #: An n-gram of more documents than this makes a bucket that is never gathered, and whose pairs are dealt in tiles.
 HOT_DOCS = 4096
-#: Classes in a tile of a bucket, and pairs of two components that the earlier round takes from one.
-TILE_SETS, FIRST_PAIRS = 512, 4
+#: Classes in a tile of a bucket, and how many pairs of a class in it the earlier rounds take.
+TILE_SETS, FIRST_PAIRS = 512, (2, 8)
 #: Classes that a task remembers, so as to speak for each of them once.
 SEEN_CLASSES = 1_000_000
 #: Fragments of the global order, sets that meet one hub together, n-grams whose overlaps are counted at a time.
@@ -382,7 +382,7 @@ TILE = ("bucket", "i", "j")
 
 def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Iterator[pa.RecordBatch]:
     """(a, b, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
-    `most` of two components, those with the highest bounds, and whether there were more."""
+    `most` of each class with those before it, the ones with the highest bounds, and whether there were more."""
     for rows in _runs(batches, TILE):
         c, ns, part, side = (_column(rows, x) for x in ("c", "ns", "part", "side"))
         n, short = ns >> 1, (ns & 1).astype(bool)
@@ -400,11 +400,10 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Ite
         i, j, bound = i[bound >= 0], j[bound >= 0], bound[bound >= 0]
         if not len(i):
             continue
-        low, high = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
-        order = np.lexsort((-bound / (n[i] + n[j]), high, low))
-        i, j, low, high = i[order], j[order], low[order], high[order]
+        order = np.lexsort((-bound / (n[i] + n[j]), j))
+        i, j = i[order], j[order]
         first = np.ones(len(i), bool)
-        first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        first[1:] = j[1:] != j[:-1]
         starts = np.flatnonzero(first)
         rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
         more = np.repeat(np.diff(np.append(starts, len(i))) > most, np.diff(np.append(starts, len(i))))
@@ -632,7 +631,7 @@ class _Join:
         rest = save(buckets.join(hubs.where("m > 3").drop("m"), "bucket").where("c <> low.c AND c <> high.c").select("bucket", "c", "ns"), "rest")
         hung = lambda edges: connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("part"))
         parts = hung(links)
-        for most in (FIRST_PAIRS, 2**62):
+        for most in (*FIRST_PAIRS, 2**62):
             now = save(rest.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed")
             found = save(self.across(now, bits, most), "across")
             if found.isEmpty():
