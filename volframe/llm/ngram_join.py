@@ -11,8 +11,8 @@ documents have them. Texts with equal sets of n-grams are one class and take par
 3. Overlaps. The order of the hashes is cut into fragments, and with it each set into segments. Segments of candidates
    meet by fragment, a row (pair, overlap) comes out of each, and rows are summed per pair.
 4. Which pairs are counted. First each member of a bucket with two of its members, the hubs. What then hangs together is
-   known to. Later rounds look only at pairs of a bucket that lie in different components and pass the filter: in the
-   first rounds a few for each class, in the last, if any were held back, all. So the components are those of all
+   known to. Later rounds look only at pairs of a bucket that lie in different components and pass the filter: the
+   first at a few for each class, the last, if any were held back, at all. So the components are those of all
    links, while most pairs inside a large group of near copies are never looked at.
 5. Links, if asked for. Within each component, pairs of similar size are counted in blocks, fragment by fragment, and
    only each set's number of links leaves a block. That work grows with the square of the different texts of one
@@ -45,8 +45,8 @@ COMMON_SHARE, COMMON_MOST = 0.001, 200_000
 STRETCH_NGRAMS = 1_000_000
 #: An n-gram of more documents than this makes a bucket that is never gathered, and whose pairs are dealt in tiles.
 HOT_DOCS = 4096
-#: Classes in a tile of a bucket, and how many pairs of a class in it the earlier rounds take.
-TILE_SETS, FIRST_PAIRS = 512, (2, 8)
+#: Classes in a tile of a bucket, and how many pairs of a class in it each round before the last takes.
+TILE_SETS, FIRST_PAIRS = 512, (4,)
 #: Classes that a task remembers, so as to speak for each of them once.
 SEEN_CLASSES = 1_000_000
 #: Fragments of the global order, sets that meet one hub together, n-grams whose overlaps are counted at a time.
@@ -348,12 +348,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, na, bits_a, nb, bits_b) the pairs (a, b) that may be similar enough."""
+    """Of rows (a, b, na, bits_a, nb, bits_b) the pairs (a, b, na, nb) that may be similar enough."""
     for b in batches:
         m = b.num_rows
         n = np.concatenate([_column(b, "na"), _column(b, "nb")])
         bits = [*b.column(b.schema.get_field_index("bits_a")).to_pylist(), *b.column(b.schema.get_field_index("bits_b")).to_pylist()]
-        yield b.select(["a", "b"]).filter(pa.array(possible(n, bits, np.arange(m), np.arange(m) + m, threshold) >= 0))
+        yield b.select(["a", "b", "na", "nb"]).filter(pa.array(possible(n, bits, np.arange(m), np.arange(m) + m, threshold) >= 0))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -381,7 +381,7 @@ TILE = ("bucket", "i", "j")
 
 
 def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
+    """(a, b, na, nb, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
     `most` of each class with those before it, the ones with the highest bounds, and whether there were more."""
     for rows in _runs(batches, TILE):
         c, ns, part, side = (_column(rows, x) for x in ("c", "ns", "part", "side"))
@@ -409,7 +409,8 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Ite
         more = np.repeat(np.diff(np.append(starts, len(i))) > most, np.diff(np.append(starts, len(i))))
         some = rank < most
         i, j, more = i[some], j[some], more[some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(more)], ["a", "b", "held_back"])
+        i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[i], c[j], n[i], n[j], more)], ["a", "b", "na", "nb", "held_back"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -579,16 +580,16 @@ class _Join:
         return found, bits
 
     def hub_pairs(self, buckets: DataFrame, hubs: DataFrame, bits: DataFrame) -> DataFrame:
-        """(a, b): each bucket's hubs a with its other classes b, where the filter lets them through."""
+        """(a, b, na, nb): each bucket's hubs a with its other classes b, where the filter lets them through."""
         threshold = self.threshold
         near = f"100 * least(n, na) >= {threshold} * greatest(n, na) AND (n <= na AND ns % 2 = 1 OR na <= n AND hub.ns % 2 = 1)"
         met = buckets.join(hubs, "bucket").select("c", "ns", F.explode(F.expr("CASE c WHEN low.c THEN array() WHEN high.c THEN array(low) ELSE array(low, high) END")).alias("hub"))
         pairs = met.withColumns({"n": F.expr("ns DIV 2"), "na": F.expr("hub.ns DIV 2")}).where(near).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
         of = lambda x: bits.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(giving_back(lambda it: _may_link(it, threshold)), "a long, b long")
+        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(giving_back(lambda it: _may_link(it, threshold)), "a long, b long, na long, nb long")
 
     def across(self, rows: DataFrame, bits: DataFrame, most: int) -> DataFrame:
-        """(a, b, held_back) over rows (bucket, c, ns, part): pairs in different parts that the filter lets through.
+        """(a, b, na, nb, held_back) over rows (bucket, c, ns, part): pairs in different parts that the filter lets through.
 
         A bucket of more than TILE_SETS classes is dealt in tiles: its most frequent part against all others, and those
         among themselves. Pairs within the most frequent part, however large, meet nowhere.
@@ -597,7 +598,7 @@ class _Join:
         per = rows.groupBy("bucket", "part").agg(F.count("*").alias("m"))
         mixed = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("part", F.struct("m", "part")).alias("main")).where("parts > 1")
         blocks = lambda n: F.ceil(n / TILE_SETS).cast("int")
-        at = rows.join(save(mixed, "mixed"), "bucket").withColumns({"others": blocks(F.col("m") - F.col("most")), "mains": blocks(F.col("most")), "h": F.xxhash64("c")})
+        at = rows.join(mixed, "bucket").withColumns({"others": blocks(F.col("m") - F.col("most")), "mains": blocks(F.col("most")), "h": F.xxhash64("c")})
         own = "CAST(pmod(h, {}) AS INT)".format
         tile = "struct({} AS i, {} AS j, {} AS side)".format
         tiles = f"""CASE WHEN m <= {TILE_SETS} THEN array({tile("0", "0", "0")})
@@ -605,10 +606,10 @@ class _Join:
             ELSE concat(transform(sequence(0, others - 1), x -> {tile(f"least(x, {own('others')})", f"greatest(x, {own('others')})", f"IF({own('others')} > x, 1, 0)")}),
                 transform(sequence(0, mains - 1), x -> {tile(own("others"), "others + x", "0")})) END"""
         dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", "bits"), "c")
-        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(giving_back(lambda it: _across(it, threshold, most)), "a long, b long, held_back boolean")
+        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(giving_back(lambda it: _across(it, threshold, most)), "a long, b long, na long, nb long, held_back boolean")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough, saved. Each set's segments meet its hubs' by fragment."""
+        """Of pairs (a, b, na, nb), na and nb being sizes, those (a, b) that are similar enough, saved. Each set's segments meet its hubs' by fragment."""
         k, threshold = self.k, self.threshold
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
         segments = self.texts(ends).mapInArrow(giving_back(lambda it: _segments(it, k)), "sc long, fragment int, grams binary")
@@ -618,8 +619,7 @@ class _Join:
         met = sides.join(segments, F.col("c") == F.col("sc")).select("a", "chunk", "fragment", "side", "c", "grams")
         by = ("a", "chunk", "fragment")
         counted = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(giving_back(_partial), "a long, b long, overlap long")
-        sizes = lambda x: self.classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"))
-        total = counted.groupBy("a", "b").agg(F.sum("overlap").alias("o")).join(sizes("a"), "a").join(sizes("b"), "b")
+        total = counted.groupBy("a", "b").agg(F.sum("overlap").alias("o")).join(pairs, ["a", "b"])
         return save(total.where(f"100 * o >= {threshold} * (na + nb - o)").select("a", "b"), "linked")
 
     def components(self) -> DataFrame:
@@ -636,10 +636,9 @@ class _Join:
             found = save(self.across(now, bits, most), "across")
             if found.isEmpty():
                 break
-            new = self.verified(found.select("a", "b").distinct())
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                parts = hung(links)
+            new = self.verified(found.select("a", "b", "na", "nb").distinct())
+            if not new.isEmpty():  # known components go on as stars
+                parts = save(hung(new.unionByName(parts.select(F.col("part").alias("a"), F.col("c").alias("b")))), "parts")
             if found.where("held_back").isEmpty():
                 break
         for table in (buckets, bits, hubs, pairs, rest):
