@@ -212,3 +212,35 @@ def test_components(spark, kind):
     df = spark.createDataFrame([(form(a), form(b)) for a, b in edges], f"a {kind}, b {kind}")
     assert {r.node: r.component for r in connected_components(df, "a", "b").collect()} == {form(k): form(v) for k, v in low.items()}
     assert connected_components(df.limit(0), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_size_runs_part_no_pair(threshold):
+    """Rows of one token that can be similar, one of them with the token in its shorter prefix, stay in one run."""
+    rng, parted = np.random.default_rng(8), 0
+    for _ in range(300):
+        m = int(rng.integers(1, 25))
+        token, n, short = rng.integers(0, 3, m), rng.integers(1, 60, m), rng.random(m) < rng.choice([0.2, 0.7])
+        order = np.lexsort((~short, n, token))
+        token, n, short = token[order], n[order], short[order]
+        run = np.cumsum(ngram_join.size_runs(token, n, short, threshold))
+        for i in range(m):
+            for j in range(i + 1, m):
+                near = token[i] == token[j] and 100 * n[i] >= threshold * n[j] and (short[i] or (short[j] and n[i] == n[j]))
+                assert run[i] == run[j] if near else True
+                parted += token[i] == token[j] and run[i] != run[j]
+    assert parted > 300
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_coarse_bitmaps_lose_no_pair(threshold):
+    """Coarse bitmaps are foldings of the full ones, and as safe."""
+    rng = np.random.default_rng(7)
+    for pair, o, similar in some_sets(rng, threshold):
+        sizes, grams = np.array([len(x) for x in pair]), np.concatenate(pair)
+        full, coarse = ngram_join.bitmaps(sizes, grams), ngram_join.bitmaps(sizes, grams, threshold)
+        fold = ngram_join._folded(full[1][: full[0][0]].reshape(1, -1), int(coarse[0][0]))
+        assert fold.tobytes() == coarse[1][: coarse[0][0]].tobytes()
+        maps = [coarse[1][: coarse[0][0]].tobytes(), coarse[1][coarse[0][0] :].tobytes()]
+        bound = ngram_join.possible(sizes, maps, np.array([0]), np.array([1]), threshold)[0]
+        assert bound >= o if similar else bound == -1 or bound >= o

@@ -4,15 +4,15 @@ N-grams have one global order: rare ones first, in the order of their 64-bit has
 documents have them. Texts with equal sets of n-grams are one class and take part once, by the digest of their set.
 
 1. Candidates. Two sets that are similar enough share an n-gram within a prefix of each, in the global order; of the
-   smaller set a shorter prefix will do. The classes that have one n-gram in their prefixes are a bucket. Buckets of the
-   same classes count once.
+   smaller set a shorter prefix will do. The classes that have one n-gram in their prefixes, in the order of their sizes
+   and cut where a size is too far from those before it, are buckets. Buckets of the same classes count once.
 2. Filter. Every class has a parity bitmap of its n-grams. Where two bitmaps differ in more places than two similar
-   sets can, the pair is dropped: a bound that loses nothing.
+   sets can, the pair is dropped: a bound that loses nothing. Within buckets a folded, coarse bitmap does so first.
 3. Overlaps. The order of the hashes is cut into fragments, and with it each set into segments. Segments of candidates
    meet by fragment, a row (pair, overlap) comes out of each, and rows are summed per pair.
 4. Which pairs are counted. First each member of a bucket with two of its members, the hubs. What then hangs together is
    known to. Later rounds look only at pairs of a bucket that lie in different components and pass the filter: the
-   first at a few for each class, the last, if any were held back, at all. So the components are those of all
+   first at a few for each class, the last at all, in the buckets that held any back. So the components are those of all
    links, while most pairs inside a large group of near copies are never looked at.
 5. Links, if asked for. Within each component, pairs of similar size are counted in blocks, fragment by fragment, and
    only each set's number of links leaves a block. That work grows with the square of the different texts of one
@@ -243,9 +243,17 @@ def _bit_bytes(sizes: np.ndarray) -> np.ndarray:
     return 2 ** np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 2, 4, 13)
 
 
-def bitmaps(sizes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of each set's bitmap, the bitmaps on end). A bit is the parity of the n-grams that fall on it."""
-    size = _bit_bytes(sizes)
+def _coarse_bytes(sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Bytes of a set's coarse bitmap, no more than those of the other: so many that two unlike sets of this size, which
+    differ in about half of the bits, differ in at least twice as many as two similar ones can."""
+    bits = np.maximum(8 * (100 - threshold) / (100 + threshold) * sizes, 1)
+    return np.minimum(2 ** np.clip(np.ceil(np.log2(bits)).astype(np.int64) - 3, 4, 13), _bit_bytes(sizes))
+
+
+def bitmaps(sizes: np.ndarray, grams: np.ndarray, coarse: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each set's bitmap, the bitmaps on end). A bit is the parity of the n-grams that fall on it. coarse: the
+    threshold that coarse bitmaps, which are foldings of the others, are for."""
+    size = _bit_bytes(sizes) if coarse is None else _coarse_bytes(sizes, coarse)
     begins = np.cumsum(size) - size
     bit = np.repeat(begins, sizes) * 8 + (grams & np.repeat(size * 8 - 1, sizes).astype(np.uint64)).astype(np.int64)
     return size, np.packbits((np.bincount(bit, minlength=int(size.sum()) * 8) & 1).astype(np.uint8))
@@ -284,7 +292,7 @@ def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-PREFIXES = "c long, n long, bits binary, short int, calm int, tokens array<long>"
+PREFIXES = "c long, n long, bits binary, coarse binary, short int, calm int, tokens array<long>"
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch], k: int, threshold: int, common: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -297,8 +305,9 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], k: int, threshold: int, comm
             grams, sizes, c = grams[np.repeat(new, sizes)], sizes[new], c[new]
             longer, shorter, calm, tokens = prefixes(sizes, grams, threshold, common, times)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(longer)]).astype(np.int32), pa.array(tokens.view(np.int64)))
-            columns = [pa.array(c), pa.array(sizes.astype(np.int64)), _binary(*bitmaps(sizes, grams)), pa.array(shorter.astype(np.int32)), pa.array(calm.astype(np.int32)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "bits", "short", "calm", "tokens"])
+            maps = _binary(*bitmaps(sizes, grams)), _binary(*bitmaps(sizes, grams, threshold))
+            columns = [pa.array(c), pa.array(sizes.astype(np.int64)), *maps, pa.array(shorter.astype(np.int32)), pa.array(calm.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "bits", "coarse", "short", "calm", "tokens"])
 
 
 def _texts(b: pa.RecordBatch) -> pa.Array:
@@ -310,22 +319,36 @@ def _column(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def size_runs(token: np.ndarray, n: np.ndarray, short: np.ndarray, threshold: int) -> np.ndarray:
+    """Where a new run begins in rows sorted by token, size, and first those with the token in their shorter prefixes.
+
+    Of two rows of a token that can be similar, the one that comes first has it in its shorter prefix, and its size is
+    near enough to the other's. So a row that the nearest such row before it is too small for meets none before it, and
+    nor do those after it.
+    """
+    at = np.arange(len(token))
+    before = np.full(len(token), -1)
+    before[1:] = np.maximum.accumulate(np.where(short, at, -1))[:-1]
+    near = np.maximum(before, 0)
+    return (before < 0) | (token[near] != token) | (100 * n[near] < threshold * n)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, c, ns), ns being twice the size, plus one in the shorter prefix, come sorted by token. Out come
-    (bucket, c, ns): the classes of each token that several have, each set of classes under one number."""
+    (bucket, c, ns): the classes of each token in runs of sizes near each other, each run of several under one number."""
     once = _Once()
 
     def found(token: np.ndarray, c: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((c, token))
+        order = np.lexsort((c, 1 - (ns & 1), ns >> 1, token))
         token, c, ns = token[order], c[order], ns[order]
         other = np.ones(len(token), bool)
         other[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
         token, c, ns = token[other], c[other], ns[other]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        starts = np.flatnonzero(size_runs(token, ns >> 1, (ns & 1).astype(bool), threshold))
         size = np.diff(np.append(starts, len(token)))
         total = np.add.reduceat(_mix(_mix(c.view(np.uint64)) + (ns & 1).astype(np.uint64)), starts)
         bucket = _mix(total + size.astype(np.uint64)).view(np.int64)
-        kept = np.flatnonzero((size > 1) & (np.add.reduceat(ns & 1, starts) > 0))
+        kept = np.flatnonzero(size > 1)
         kept = kept[once.new(bucket[kept])]
         rows = np.isin(np.repeat(np.arange(len(size)), size), kept)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, size)[rows]), pa.array(c[rows]), pa.array(ns[rows])], ["bucket", "c", "ns"])
@@ -381,7 +404,7 @@ TILE = ("bucket", "i", "j")
 
 
 def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
+    """(bucket, a, b, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
     `most` of each class with those before it, the ones with the highest bounds, and whether there were more."""
     for rows in _runs(batches, TILE):
         c, ns, part, side = (_column(rows, x) for x in ("c", "ns", "part", "side"))
@@ -396,7 +419,7 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Ite
         if not len(i):
             continue
         i, j = left[i], right[j]
-        bound = possible(n, rows["bits"].to_pylist(), i, j, threshold)
+        bound = possible(n, rows["coarse"].to_pylist(), i, j, threshold)
         i, j, bound = i[bound >= 0], j[bound >= 0], bound[bound >= 0]
         if not len(i):
             continue
@@ -410,7 +433,8 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Ite
         some = rank < most
         i, j, more = i[some], j[some], more[some]
         i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[i], c[j], n[i], n[j], more)], ["a", "b", "na", "nb", "held_back"])
+        bucket = np.full(len(i), rows["bucket"][0].as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, c[i], c[j], more)], ["bucket", "a", "b", "held_back"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -566,30 +590,37 @@ class _Join:
         return self.rows.join(sized(self.classes.join(classes, "c", "left_semi").select("th")), "th", "left_semi").select("doc_id", "text", "th")
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
-        """(bucket, c, ns): classes with an n-gram in their prefixes in common; and (c, n, bits) of these classes."""
+        """(bucket, c, ns): classes with an n-gram in their prefixes in common; and (c, n, bits, coarse) of these classes."""
         spark, k, threshold = self.rows.sparkSession, self.k, self.threshold
         common = spark.sparkContext.broadcast(self.common)
         rows = save(self.rows.mapInArrow(giving_back(lambda it: _prefix_rows(it, k, threshold, *common.value)), PREFIXES), "prefixes")
         each = rows.select("c", "n", F.expr("inline(transform(tokens, (t, i) -> struct(t AS token, i < short AS short, i >= calm AS hot)))"))
         each = each.select("token", "c", (F.col("n") * 2 + F.col("short").cast("long")).alias("ns"), "hot")
-        calm = each.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(giving_back(_meet), "bucket long, c long, ns long")
+        calm = each.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(giving_back(lambda it: _meet(it, threshold)), "bucket long, c long, ns long")
         hot = each.where("hot").select(F.col("token").alias("bucket"), "c", "ns")
         found = save(calm.unionByName(hot).distinct(), "buckets")
-        bits = save(rows.join(found.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "bitmaps")
+        bits = save(rows.join(found.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("coarse").alias("coarse")), "bitmaps")
         discard(rows)
         return found, bits
 
     def hub_pairs(self, buckets: DataFrame, hubs: DataFrame, bits: DataFrame) -> DataFrame:
         """(a, b, na, nb): each bucket's hubs a with its other classes b, where the filter lets them through."""
-        threshold = self.threshold
-        near = f"100 * least(n, na) >= {threshold} * greatest(n, na) AND (n <= na AND ns % 2 = 1 OR na <= n AND hub.ns % 2 = 1)"
+        near = f"100 * least(n, na) >= {self.threshold} * greatest(n, na) AND (n <= na AND ns % 2 = 1 OR na <= n AND hub.ns % 2 = 1)"
         met = buckets.join(hubs, "bucket").select("c", "ns", F.explode(F.expr("CASE c WHEN low.c THEN array() WHEN high.c THEN array(low) ELSE array(low, high) END")).alias("hub"))
         pairs = met.withColumns({"n": F.expr("ns DIV 2"), "na": F.expr("hub.ns DIV 2")}).where(near).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
-        of = lambda x: bits.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+        return self.filtered(save(self.filtered(pairs, bits, "coarse").select("a", "b"), "coarse_pairs"), bits)
+
+    def filtered(self, pairs: DataFrame, bits: DataFrame, bitmap: str = "bits") -> DataFrame:
+        """(a, b, na, nb) of the pairs (a, b) that their bitmaps let through; na and nb are sizes. only the
+        full bitmaps that pairs take are moved; then pairs is a saved table, as it is read more than once."""
+        threshold = self.threshold
+        if bitmap == "bits":
+            bits = bits.join(sized(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "c", "left_semi")
+        of = lambda x: bits.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col(bitmap).alias(f"bits_{x}"))
         return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(giving_back(lambda it: _may_link(it, threshold)), "a long, b long, na long, nb long")
 
     def across(self, rows: DataFrame, bits: DataFrame, most: int) -> DataFrame:
-        """(a, b, na, nb, held_back) over rows (bucket, c, ns, part): pairs in different parts that the filter lets through.
+        """(bucket, a, b, held_back) over rows (bucket, c, ns, part): pairs in different parts that the coarse filter lets through.
 
         A bucket of more than TILE_SETS classes is dealt in tiles: its most frequent part against all others, and those
         among themselves. Pairs within the most frequent part, however large, meet nowhere.
@@ -605,8 +636,8 @@ class _Join:
             WHEN part = main THEN transform(sequence(0, others - 1), x -> {tile("x", f"others + {own('mains')}", "1")})
             ELSE concat(transform(sequence(0, others - 1), x -> {tile(f"least(x, {own('others')})", f"greatest(x, {own('others')})", f"IF({own('others')} > x, 1, 0)")}),
                 transform(sequence(0, mains - 1), x -> {tile(own("others"), "others + x", "0")})) END"""
-        dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", "bits"), "c")
-        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(giving_back(lambda it: _across(it, threshold, most)), "a long, b long, na long, nb long, held_back boolean")
+        dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", "coarse"), "c")
+        return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(giving_back(lambda it: _across(it, threshold, most)), "bucket long, a long, b long, held_back boolean")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, na, nb), na and nb being sizes, those (a, b) that are similar enough, saved. Each set's segments meet its hubs' by fragment."""
@@ -631,16 +662,19 @@ class _Join:
         rest = save(buckets.join(hubs.where("m > 3").drop("m"), "bucket").where("c <> low.c AND c <> high.c").select("bucket", "c", "ns"), "rest")
         hung = lambda edges: connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("part"))
         parts = hung(links)
+        left = rest
         for most in (*FIRST_PAIRS, 2**62):
-            now = save(rest.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed")
+            now = save(left.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed")
             found = save(self.across(now, bits, most), "across")
             if found.isEmpty():
                 break
-            new = self.verified(found.select("a", "b", "na", "nb").distinct())
+            new = self.verified(save(self.filtered(save(found.select("a", "b").distinct(), "coarse_pairs"), bits), "pairs"))
             if not new.isEmpty():  # known components go on as stars
                 parts = save(hung(new.unionByName(parts.select(F.col("part").alias("a"), F.col("c").alias("b")))), "parts")
-            if found.where("held_back").isEmpty():
+            back = found.where("held_back").select("bucket").distinct()
+            if back.isEmpty():
                 break
+            left = rest.join(back, "bucket", "left_semi")
         for table in (buckets, bits, hubs, pairs, rest):
             discard(table)
         return parts
