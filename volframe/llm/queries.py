@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, media, ngram_join, packing, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
+from . import clustering, compression_classifier, media, minhash, ngram_join, packing, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_sentencepieces": sentencepieces.op1,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_warc": warc.op9,
     "op10_quality_rules": quality_rules.op10,
+    "op11_centroid_clustering": clustering.op11,
+    "op13_minhash_dedup": minhash.op13,
 }
 ORACLE_SQL = {
     "op3_ngram_join": ngram_join.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_centroid_clustering": clustering.ORACLE,
+    "op13_minhash_dedup": minhash.ORACLE,
 }
