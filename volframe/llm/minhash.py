@@ -29,8 +29,8 @@ from .shared import discard, giving_back, read, save, sized
 
 #: Bins of a band; the chance that a pair at the threshold has no band in common.
 BAND_BINS, MISS = 5, 1e-10
-#: Sets whose sketches are made at a time.
-SKETCHES = 2048
+#: Sets whose sketches are made at a time; lenders that all empty bins ask together before sets go on one at a time.
+SKETCHES, TURNS = 2048, 24
 U = np.uint64
 
 
@@ -46,6 +46,12 @@ def _lenders(bins: int) -> np.ndarray:
     return np.random.default_rng(bins).permuted(np.tile(np.arange(bins, dtype=np.int32), (bins, 1)), axis=1)
 
 
+@lru_cache(maxsize=4)
+def _places(bins: int) -> np.ndarray:
+    """[bin, lender]: as the how manieth the lender is asked."""
+    return np.argsort(_lenders(bins), axis=1).astype(np.int32)
+
+
 def sketches(sizes: np.ndarray, grams: np.ndarray, bins: int) -> np.ndarray:
     """[set, bin] for sets whose n-grams lie on end, each set ascending; an empty set has zeros."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -57,11 +63,21 @@ def sketches(sizes: np.ndarray, grams: np.ndarray, bins: int) -> np.ndarray:
     full.ravel()[cell[first]] = True
     row, bin_ = np.nonzero(~full & (sizes > 0)[:, None])
     asked, turn = _lenders(bins), 0
-    while len(row):
+    while len(row) and turn < TURNS:
         lender = asked[bin_, turn]
         found = full[row, lender]
         out[row[found], bin_[found]] = out[row[found], lender[found]]
         row, bin_, turn = row[~found], bin_[~found], turn + 1
+    left = np.unique(row)  # few of their bins are full: which of those comes first in each bin's order
+    many = full[left].sum(1)
+    for m in np.unique(many):
+        some = left[many == m]
+        step = max(1, 4_000_000 // int(bins * m))
+        for at in range(0, len(some), step):
+            r = some[at : at + step]
+            has = np.nonzero(full[r])[1].reshape(-1, m)
+            first = np.take_along_axis(has, _places(bins)[:, has].argmin(2).T, 1)
+            out[r] = np.where(full[r], out[r], np.take_along_axis(out[r], first, 1))
     return out
 
 

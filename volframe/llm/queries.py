@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, compression_classifier, media, minhash, ngram_join, packing, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
+from . import clustering, compression_classifier, media, minhash, ngram_join, packing, prefix_trie, quality_rules, sentencepieces, sharding, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_sentencepieces": sentencepieces.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9,
     "op10_quality_rules": quality_rules.op10,
     "op11_centroid_clustering": clustering.op11,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_minhash_dedup": minhash.op13,
 }
 ORACLE_SQL = {
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op9_warc": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "op11_centroid_clustering": clustering.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_minhash_dedup": minhash.ORACLE,
 }
