@@ -5,8 +5,9 @@
    all bins, the same for every set, so that two sets agree in a bin with a chance equal to their similarity.
 2. Buckets. A band is some bins next to each other; the classes (texts with equal sets) that agree in a whole band are a
    bucket. Buckets of the same classes count once.
-3. Candidates. A bucket gives a star: its smallest class, and its largest, with each of the others. So a bucket of m classes
-   gives no more than 2 m pairs. Pairs pass the parity bitmaps of the n-gram join and are then confirmed on full sets.
+3. Candidates. A bucket is a star around its smallest class. Of the stars that a class lies in it takes the STARS with the
+   smallest centres, so that m classes give no more than STARS * m pairs, however many bands they share. Pairs pass the
+   parity bitmaps of the n-gram join and are then confirmed on full sets.
 4. What the stars leave open. Classes of one bucket that are in different components after that may still link with each
    other; the join's later rounds look at those pairs alone, so that a component is the one of all links.
 
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import _binary, _Join, _mix, _Once, _runs_of, _texts, bitmaps, classes_of, ngram_sets
+from .components import connected_components
+from .ngram_join import FIRST_PAIRS, _binary, _Join, _mix, _Once, _runs_of, _texts, bitmaps, classes_of, ngram_sets
 from .shared import discard, giving_back, read, save, sized
 
-#: Bins of a band; the chance that a pair at the threshold has no band in common.
-BAND_BINS, MISS = 5, 1e-10
+#: Bins of a band; the chance that a pair at the threshold has no band in common; stars that a class is a point of.
+BAND_BINS, MISS, STARS = 5, 1e-10, 2
 #: Sets whose sketches are made at a time; lenders that all empty bins ask together before sets go on one at a time.
 SKETCHES, TURNS = 2048, 24
 U = np.uint64
@@ -140,6 +142,42 @@ class _NearCopies(_Join):
         bits = self.sketched.select("c", "n", "bits", "coarse").join(some, "c", "left_semi").groupBy("c").agg(*(F.min(x).alias(x) for x in ("n", "bits", "coarse")))
         return found, save(bits, "bitmaps")
 
+    def stars(self, buckets: DataFrame) -> DataFrame:
+        """(a, b): each class b with the STARS smallest centres a of its buckets."""
+        centres = buckets.groupBy("bucket").agg(F.min("c").alias("a"))
+        around = buckets.join(centres, "bucket").where("a <> c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set("a")), 1, STARS).alias("a"))  # at most one a band
+        return around.select(F.explode("a").alias("a"), F.col("c").alias("b"))
+
+    def components(self) -> DataFrame:
+        """(c, part) of every class that links with another; part is the smallest class that links reach."""
+        buckets, bits = self.buckets()
+        hung = lambda edges: connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("part"))
+        stars = save(self.stars(buckets), "stars")
+        near = save(self.filtered(stars, bits, "coarse").select("a", "b"), "coarse_pairs")
+        pairs = save(self.filtered(near, bits), "pairs")
+        links = self.verified(pairs)
+        parts = save(hung(links), "parts")
+        for table in (near, pairs, links):
+            discard(table)
+        left, asked = buckets, stars
+        for most in (*FIRST_PAIRS, 2**62):
+            now = save(left.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed")
+            found = save(self.across(now, bits, most), "across")
+            near = save(found.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "coarse_pairs")
+            pairs = save(self.filtered(near, bits), "pairs")
+            new = self.verified(pairs)
+            if not new.isEmpty():  # known components go on as stars
+                parts = save(hung(new.unionByName(parts.select(F.col("part").alias("a"), F.col("c").alias("b")))), "parts")
+            back = found.where("held_back").select("bucket").distinct()
+            if back.isEmpty():
+                break
+            left, asked = buckets.join(back, "bucket", "left_semi"), asked.unionByName(near)
+            for table in (now, pairs, new):
+                discard(table)
+        for table in (buckets, bits, stars):
+            discard(table)
+        return parts
+
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 80, bands: int | None = None, band_bins: int = BAND_BINS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) of every row.
