@@ -51,7 +51,7 @@ def test_filelist(spark, tmp_path):
 
     df = spark.createDataFrame([("source/b.nii.gz",), ("source/a.nii.gz",)], "path string")
     curate.write_filelist(df, str(tmp_path / "list"))
-    found = read_filelist(spark, str(tmp_path / "list")).orderBy("ordinal").collect()
+    found = read_filelist(spark, str(tmp_path / "list" / "text")).orderBy("ordinal").collect()
     assert [(r.ordinal, r.path) for r in found] == [(0, "derivatives/a.npz"), (1, "derivatives/b.npz")]
     (tmp_path / "odd.txt").write_text("x y\n\nz\n\n")
     assert [r.path for r in read_filelist(spark, str(tmp_path / "odd.txt")).orderBy("ordinal").collect()] == ["x", "y", "z"]

@@ -109,10 +109,11 @@ def test_fit_and_crop():
     assert np.allclose(affine[:3, 3], (-1, 2, 0))
     mask = np.zeros((5, 5, 5), bool)
     mask[2, 3, 4] = True
-    box, _, moved = volumes.cropped(image, mask, np.eye(4))
-    assert box.shape == (1, 1, 1) and np.allclose(moved[:3, 3], (2, 3, 4))
+    _, runs = volumes.packed(image, mask)
+    _, _, shape, moved = volumes.boxed(image[mask], runs, mask.shape, np.eye(4))
+    assert shape == (1, 1, 1) and np.allclose(moved[:3, 3], (2, 3, 4))
     with pytest.raises(ValueError):
-        volumes.cropped(image, np.zeros_like(mask), np.eye(4))
+        volumes.boxed(np.zeros(0), np.array([125]), mask.shape, np.eye(4))
 
 
 def test_prepared_job(spark):

@@ -63,3 +63,16 @@ def run_mask(lengths: Column) -> Column:
 def digest10(document: Column) -> Column:
     """The first ten hexadecimal digits of a text's SHA-256."""
     return F.substring(F.sha2(document, 256), 1, 10)
+
+
+def field(document: Column, path: str, default=None, kind: str = "string") -> Column:
+    """What a JSON document (a variant) has at a path like $.a.b[0], as a type; the default where there is nothing, null or
+    something of another type. Objects and lists as text are their JSON."""
+    found = F.try_variant_get(document, path, kind)
+    return found if default is None else F.coalesce(found, F.lit(default).cast(kind))
+
+
+def canonical(document: Column) -> Column:
+    """A struct, map or variant as JSON with the keys of every object in ascending order and nulls stated: equal documents
+    are equal texts, whatever order their keys came in. Numbers lose zeros at the end of their fraction."""
+    return F.to_json(F.parse_json(F.to_json(document, {"ignoreNullFields": "false"})))

@@ -90,8 +90,10 @@ def derivative_path(path: Column) -> Column:
 
 
 def write_filelist(df: DataFrame, path: str) -> None:
-    """The derivative paths in path order, one a line, in one text file, as training reads it.
+    """The derivative paths in path order: below path/list in Parquet, with their ordinal, and below path/text one a line,
+    in parts whose names are in order. Nothing passes through one task."""
+    from volframe.operators.ordering import write_list, write_text_list
 
-    The list is text for one reader and small beside the images; for large lists, write the ordered rows as Parquet.
-    """
-    df.select("path").orderBy("path").select(derivative_path(F.col("path")).alias("value")).coalesce(1).write.text(path)
+    paths = df.select(F.col("path").alias("value"), derivative_path(F.col("path")).alias("path"))
+    write_list(paths, "path", f"{path}/list")
+    write_text_list(paths, "path", f"{path}/text")

@@ -59,7 +59,8 @@ def crop_affine(headers: DataFrame, starts: Sequence[str]) -> DataFrame:
 
 def axis_codes(affine: np.ndarray) -> list[tuple[int, int]]:
     """For each voxel axis the world axis it follows and its direction, 1 or -1, by the rotation nearest to the affine:
-    pairs are taken greedily, the voxel axes in order of their strongest component."""
+    pairs are taken greedily, the voxel axes in order of their strongest component. This is the public rule of nibabel's
+    io_orientation, whose results are to be met."""
     turn = affine[:3, :3]
     zooms = np.sqrt((turn * turn).sum(0))
     zooms[zooms == 0] = 1

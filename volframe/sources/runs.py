@@ -20,14 +20,34 @@ SCORE_MAP = "summary map<string,struct<score:double>>"
 
 
 def run_of(path):
-    """A file's folder."""
-    return F.element_at(F.split(path, "/"), -2)
+    """A file's folder; of one written by partition, what follows `run=`."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^run=", "")
 
 
-def read_step_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """JSON lines; the token NaN is a number. stream: the same rows as they are added."""
+#: Where a line that is no step goes, whole.
+CORRUPT = "corrupt_line"
+
+
+def read_step_log(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """(STEPLOG, corrupt_line) of JSON lines; the token NaN is a number. Fields that a line lacks, as of runs from before a
+    field was logged, are null. A line that is no JSON, or has a field of another type, keeps its text in corrupt_line,
+    where sound lines have null; see sound_steps and corrupt_lines. stream: the same rows as files are added, in
+    micro-batches of files_per_batch files."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(STEPLOG).json(path)
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.schema(f"{STEPLOG}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def sound_steps(log: DataFrame) -> DataFrame:
+    """The steps of a log: lines that were read and say which run and step they are of."""
+    return log.where(F.col(CORRUPT).isNull() & F.col("run").isNotNull() & F.col("step").isNotNull()).drop(CORRUPT)
+
+
+def corrupt_lines(log: DataFrame) -> DataFrame:
+    """(line): the lines that sound_steps leaves out, as they are; what can be read of one without run or step, as JSON."""
+    rest = log.where(F.col(CORRUPT).isNotNull() | F.col("run").isNull() | F.col("step").isNull())
+    return rest.select(F.coalesce(CORRUPT, F.to_json(F.struct(*(c for c in rest.columns if c != CORRUPT)))).alias("line"))
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,13 +61,36 @@ def live_selection(images: DataFrame) -> DataFrame:
     return keep_first(passed, KEYS, "path")
 
 
-def finished(stream: DataFrame, mode: str, out: str, checkpoint: str):
-    """Run a stream over what is there, stop at a micro-batch boundary, and keep where it got to in checkpoint, so that
-    the next run goes on from there. Each micro-batch's rows are written below out, under its number."""
+class _Enough(Exception):
+    """Ends a stream before its next micro-batch is looked at."""
+
+
+def advance(stream: DataFrame, mode: str, out: str, checkpoint: str, most_batches: int | None = None) -> int:
+    """Run a stream over what is there, or over most_batches micro-batches of it, and stop between two; gives their number.
+
+    The next call with the same checkpoint goes on with the first micro-batch that was not finished: its rows, its state
+    and its number are in the checkpoint, which must lie where the next driver finds it. A micro-batch's rows are written
+    below out under its number, over what an unfinished attempt may have left, so that each is there once however often
+    a stream was stopped or lost.
+    """
+    done = 0
 
     def write(batch: DataFrame, number: int) -> None:
+        nonlocal done
+        if most_batches is not None and done >= most_batches:
+            raise _Enough
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done += 1
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if _Enough.__name__ not in str(e):
+            raise
+    return done
+
+
+def finished(stream: DataFrame, mode: str, out: str, checkpoint: str) -> int:
+    """advance() to the end of what is there."""
+    return advance(stream, mode, out, checkpoint)
