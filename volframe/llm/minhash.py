@@ -5,11 +5,13 @@
    all bins, the same for every set, so that two sets agree in a bin with a chance equal to their similarity.
 2. Buckets. A band is some bins next to each other; the classes (texts with equal sets) that agree in a whole band are a
    bucket. Buckets of the same classes count once.
-3. Candidates. A bucket is a star around its smallest class. Of the stars that a class lies in it takes the STARS with the
-   smallest centres, so that m classes give no more than STARS * m pairs, however many bands they share. Pairs pass the
-   parity bitmaps of the n-gram join and are then confirmed on full sets.
+3. Candidates. A bucket is a star around the class that shares most buckets with others: of a text and its rewordings that
+   is the text, as each rewording keeps other bands of it. Of the stars that a class lies in it takes the STARS with the
+   most shared centres, so that m classes give no more than STARS * m pairs, however many bands they have in common.
+   Pairs pass the parity bitmaps of the n-gram join and are then confirmed on full sets.
 4. What the stars leave open. Classes of one bucket that are in different components after that may still link with each
-   other; the join's later rounds look at those pairs alone, so that a component is the one of all links.
+   other; the join's later rounds look at those pairs alone, each in one of the buckets it has in common, so that a
+   component is the one of all links.
 
 A pair at the threshold agrees in no band at all with a chance of MISS; more similar pairs with less.
 """
@@ -131,22 +133,27 @@ class _NearCopies(_Join):
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """(bucket, c, ns): the classes of each band key that several have, one key for all that have the same classes; and
-        (c, n, bits, coarse) of these classes. Keys are pre-aggregated, so that no bucket is gathered."""
+        (c, n, bits, coarse, mine) of these classes, mine being a class's buckets. Keys are pre-aggregated, so that no bucket
+        is gathered."""
         each = self.sketched.select("c", (F.col("n") * 2 + 1).alias("ns"), F.explode("bands").alias("bucket"))
         h = F.xxhash64("c")
         what = each.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(2**31 - 1)).alias("s"))
         shared = save(what.where("low < high").groupBy("low", "high", "m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
         found = save(each.join(sized(shared), "bucket").select("bucket", "c", "ns").distinct(), "buckets")
         discard(shared)
-        some = found.select("c").distinct()
-        bits = self.sketched.select("c", "n", "bits", "coarse").join(some, "c", "left_semi").groupBy("c").agg(*(F.min(x).alias(x) for x in ("n", "bits", "coarse")))
-        return found, save(bits, "bitmaps")
+        own = found.groupBy("c").agg(F.collect_list("bucket").alias("mine"))  # at most one a band
+        bits = self.sketched.select("c", "n", "bits", "coarse").join(own.select("c"), "c", "left_semi").groupBy("c").agg(*(F.min(x).alias(x) for x in ("n", "bits", "coarse")))
+        return found, save(bits.join(own, "c"), "bitmaps")
 
     def stars(self, buckets: DataFrame) -> DataFrame:
-        """(a, b): each class b with the STARS smallest centres a of its buckets."""
-        centres = buckets.groupBy("bucket").agg(F.min("c").alias("a"))
-        around = buckets.join(centres, "bucket").where("a <> c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set("a")), 1, STARS).alias("a"))  # at most one a band
-        return around.select(F.explode("a").alias("a"), F.col("c").alias("b"))
+        """(a, b), a < b: each class with the STARS centres of its buckets that share most; the smaller class where two
+        share as much."""
+        shares = buckets.groupBy("c").agg(F.count("*").alias("shares"))
+        rank = F.struct(-F.col("shares"), F.col("c"))  # the smallest is the centre
+        ranked = buckets.select("bucket", "c").join(shares, "c").select("bucket", "c", rank.alias("rank"))
+        centres = ranked.groupBy("bucket").agg(F.min("rank").alias("centre"))
+        around = buckets.select("bucket", "c").join(centres, "bucket").where("c <> centre.c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set("centre")), 1, STARS).alias("centres"))  # at most one a band
+        return around.select(F.explode("centres.c").alias("x"), "c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """(c, part) of every class that links with another; part is the smallest class that links reach."""

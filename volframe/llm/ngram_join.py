@@ -405,7 +405,8 @@ TILE = ("bucket", "i", "j")
 
 def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Iterator[pa.RecordBatch]:
     """(bucket, a, b, held_back) of the pairs of a tile that lie in different components and may be similar enough: at most
-    `most` of each class with those before it, the ones with the highest bounds, and whether there were more."""
+    `most` of each class with those before it, the ones with the highest bounds, and whether there were more. Where rows
+    say in `mine` which buckets their class is in, only the first bucket that a pair has in common speaks for it."""
     for rows in _runs(batches, TILE):
         c, ns, part, side = (_column(rows, x) for x in ("c", "ns", "part", "side"))
         n, short = ns >> 1, (ns & 1).astype(bool)
@@ -421,6 +422,11 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Ite
         i, j = left[i], right[j]
         bound = possible(n, rows["coarse"].to_pylist(), i, j, threshold)
         i, j, bound = i[bound >= 0], j[bound >= 0], bound[bound >= 0]
+        if "mine" in rows.column_names and len(i):
+            mine, here = rows["mine"].to_pylist(), rows["bucket"][0].as_py()
+            sets = {x: set(mine[x]) for x in np.union1d(i, j).tolist()}
+            first = np.array([min(sets[x] & sets[y]) == here for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+            i, j, bound = i[first], j[first], bound[first]
         if not len(i):
             continue
         order = np.lexsort((-bound / (n[i] + n[j]), j))
@@ -636,7 +642,8 @@ class _Join:
             WHEN part = main THEN transform(sequence(0, others - 1), x -> {tile("x", f"others + {own('mains')}", "1")})
             ELSE concat(transform(sequence(0, others - 1), x -> {tile(f"least(x, {own('others')})", f"greatest(x, {own('others')})", f"IF({own('others')} > x, 1, 0)")}),
                 transform(sequence(0, mains - 1), x -> {tile(own("others"), "others + x", "0")})) END"""
-        dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", "coarse"), "c")
+        carried = [x for x in ("coarse", "mine") if x in bits.columns]
+        dealt = at.select("bucket", "c", "ns", "part", F.expr(f"inline({tiles})")).join(bits.select("c", *carried), "c")
         return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(giving_back(lambda it: _across(it, threshold, most)), "bucket long, a long, b long, held_back boolean")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
