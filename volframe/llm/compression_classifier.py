@@ -17,14 +17,17 @@ from .tokenizing import texts_of
 #: The fit's sample: at most this many labelled texts of each label, of at most this many bytes each, those with the
 #: smallest digests of their ids. All else is done on all rows.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1200, 16_000
-#: Bytes of a dictionary, and bytes of text compressed at a time, so that a long text keeps to the dictionary.
-DICTIONARY_BYTES, WINDOW_BYTES = 64_000, 2_000
-LEVEL = 3
+#: Bytes of a dictionary, and bytes of text compressed at a time: in a short window most matches are with the dictionary,
+#: not with the text itself. The level decides how hard the compressor looks for them.
+DICTIONARY_BYTES, WINDOW_BYTES = 64_000, 300
+LEVEL = 12
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Model:
+    """Two dictionaries, and the calibration's slope and constant."""
+
     good: bytes
     bad: bytes
     weights: tuple[float, ...]
@@ -38,19 +41,15 @@ def _compressors(model: Model):
     return of(model.good), of(model.bad)
 
 
-def features(model: Model, text: str | None) -> tuple[float, float, float]:
-    """(difference of the compressed sizes with the good and the bad dictionary, divided by their sum; size with the
-    better of the two by the text's bytes; 1). The whole text counts, a window at a time; 0, 0, 1 for null and empty."""
+def difference(model: Model, text: str | None) -> float:
+    """How many bytes less the good dictionary takes for the text than the bad one, for each byte of the text. The whole text
+    counts, a window at a time; 0 for null and empty."""
     raw = (text or "").encode()
     if not raw:
-        return 0.0, 0.0, 1.0
+        return 0.0
     good, bad = _compressors(model)
-    g = b = 0
-    for at in range(0, len(raw), WINDOW_BYTES):
-        window = raw[at : at + WINDOW_BYTES]
-        g += len(good.compress(window))
-        b += len(bad.compress(window))
-    return (b - g) / (b + g), min(g, b) / len(raw), 1.0
+    windows = [raw[at : at + WINDOW_BYTES] for at in range(0, len(raw), WINDOW_BYTES)]
+    return sum(len(bad.compress(w)) - len(good.compress(w)) for w in windows) / len(raw)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -104,28 +103,36 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     of = {0: 0, 1: 0} | {r["_label"]: r["count"] for r in wanted.groupBy("_label").count().collect()}  # at most two rows
     base = (of[1] + 1) / (of[0] + of[1] + 2)
     if not by[0] or not by[1]:
-        return Model(b" " * 8, b" " * 8, (0.0, 0.0, float(np.log(base / (1 - base)))))
-    model = Model(_dictionary(by[1][::2]), _dictionary(by[0][::2]), (0.0, 0.0, 0.0))
+        return Model(b" " * 8, b" " * 8, (0.0, float(np.log(base / (1 - base)))))
+    model = Model(_dictionary(by[1][::2]), _dictionary(by[0][::2]), (0.0, 0.0))
     held = [(t, v) for v in (0, 1) for t in by[v][1::2]]
-    x = np.array([features(model, t.decode()) for t, _ in held]).reshape(-1, 3)
+    found = np.array([difference(model, t.decode()) for t, _ in held])
+    scale = float(found.std()) if len(found) and found.std() > 0 else 1.0
+    x = np.stack([found / scale, np.ones(len(found))], 1)
     y = np.array([v for _, v in held], float)
     n = {v: len(by[v][1::2]) for v in (0, 1)}
     counts = np.array([of[v] / (of[0] + of[1]) * len(held) / n[v] for _, v in held])
-    return Model(model.good, model.bad, tuple(calibrate(x, y, counts=counts)) if len(y) else (0.0, 0.0, 0.0))
+    if not len(y):
+        return model
+    slope, constant = calibrate(x, y, counts=counts)
+    if slope < 0:  # the good dictionary says nothing of good texts here; chance must not turn the score round
+        slope, constant = 0.0, calibrate(x[:, 1:], y, counts=counts)[0]
+    return Model(model.good, model.bad, (float(slope / scale), float(constant)))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
-    """docs with column `name`, 0 to 1, higher where label 1 is likelier. Each row is scored by its text alone, whole;
-    null and empty texts by the calibration's constant. No shuffle. docs keeps its columns."""
+    """docs with column `name`, 0 to 1, higher where label 1 is likelier: the calibrated difference of the two compressed
+    sizes, and nothing else. Each row is scored by its text alone, whole; null and empty texts by the calibration's
+    constant. No shuffle. docs keeps its columns."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
-    weights = np.array(model.weights)
+    slope, constant = model.weights
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            x = np.array([features(m, t) for t in texts_of(b, text)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sigmoid(x @ weights))], [*b.schema.names, name])
+            x = np.array([difference(m, t) for t in texts_of(b, text)], float)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sigmoid(slope * x + constant))], [*b.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
