@@ -22,20 +22,57 @@ def test_cascade_stops_early(spark):
     first, second = quality_rules.Rule("all", "true", ()), quality_rules.Rule("never", "raise_error('asked') IS NULL", ())
     df = spark.createDataFrame([("x",), (None,)], "text string")
     assert [r.rejected_by for r in quality_rules.cascade(df, [first, second]).collect()] == ["all", "all"]
-    order = quality_rules.ordered(quality_rules.Estimates((first, second), {"all": 1.0, "never": 10.0}, {frozenset(("all",)): 1, frozenset(("never",)): 2}))
+    cheap, dear = quality_rules.Rule("all", "true", ("n_words",)), quality_rules.Rule("never", "true", ("n_lines",))
+    order = quality_rules.ordered(quality_rules.Estimates((cheap, dear), {"n_words": 1.0, "n_lines": 10.0}, {frozenset(("all",)): 1, frozenset(("never",)): 2}))
     assert [r.name for r in order] == ["all", "never"]
 
 
 def test_order_is_by_rejections_left_per_cost():
     """A rule that rejects only what an earlier one rejects goes last, though it is cheap."""
-    a, b, c = (quality_rules.Rule(x, "true", ()) for x in "abc")
-    found = quality_rules.Estimates((a, b, c), {"a": 1.0, "b": 1.2, "c": 9.0}, {frozenset("ab"): 50, frozenset("c"): 5, frozenset(): 100})
+    a, b, c = (quality_rules.Rule(x, "true", (n,)) for x, n in (("a", "n_symbols"), ("b", "_words"), ("c", "_lines")))
+    found = quality_rules.Estimates((a, b, c), {"n_symbols": 1.0, "_words": 1.2, "_lines": 9.0}, {frozenset("ab"): 50, frozenset("c"): 5, frozenset(): 100})
     assert [r.name for r in quality_rules.ordered(found)] == ["a", "c", "b"]
 
 
+def test_a_rule_costs_what_it_adds():
+    """A measure that an earlier rule asked for, or that is there before the cascade, costs nothing more."""
+    a, b, c = (quality_rules.Rule(x, "true", n) for x, n in (("a", ("n_words",)), ("b", ("n_words", "n_symbols")), ("c", ("n_lines",))))
+    cost = {"_words": 5.0, "n_words": 0.1, "n_symbols": 0.2, "_lines": 3.0, "n_lines": 0.1}
+    found = quality_rules.Estimates((a, b, c), cost, {frozenset("a"): 20, frozenset("b"): 9, frozenset("c"): 10, frozenset(): 61})
+    assert [round(found.adds(r, ()), 3) for r in (a, b, c)] == [5.1, 5.3, 3.1]
+    assert [r.name for r in quality_rules.ordered(found)] == ["a", "b", "c"]  # alone, b would go after c
+    assert [r.name for r in quality_rules.ordered(found, ("n_lines", "_lines"))] == ["c", "a", "b"]
+
+
+def test_measured_costs_set_the_order(spark):
+    """A dear rule with slightly more rejections goes after a cheap one, by costs measured on the rows."""
+    import random as r
+
+    rng = r.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(800))) for i in range(150)]
+    rows += [(1000 + i, "same five words again here " * 200) for i in range(12)] + [(2000 + i, "# " * 900) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = tuple(x for x in quality_rules.RULES if x.name in ("repeats", "symbols"))
+    found = quality_rules.estimate(docs, rules, sample_rows=10_000)
+    rejected = {x.name: sum(n for f, n in found.failing.items() if x.name in f) for x in rules}
+    assert rejected == {"repeats": 22, "symbols": 10} and sum(found.failing.values()) == 172
+    assert found.adds(rules[0], ()) > 3 * found.adds(rules[1], ("_words", "n_words"))
+    assert found.cost["n_repeat_words"] + found.cost["_grams"] > 3 * found.cost["n_symbols"] > 0 and found.cost["n_repeat_words"] > 5 * found.cost["n_words"]
+    assert [x.name for x in quality_rules.ordered(found, ("_words", "n_words"))] == ["symbols", "repeats"]
+
+
+def test_sample_comes_from_some_files(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "concat('a b ', id) AS text").repartition(40).write.parquet(f"{tmp_path}/many")
+    docs = spark.read.parquet(f"{tmp_path}/many")
+    some = quality_rules._of_some_files(docs, 0.1)
+    assert 1000 < some.count() < 2500 and some.select(F.input_file_name()).distinct().count() == quality_rules.SAMPLE_FILES
+    assert quality_rules._of_some_files(docs.groupBy("doc_id").agg(F.max("text").alias("text")), 0.1).count() == 4000
+    assert 500 < sum(quality_rules.estimate(docs).failing.values()) < 1600
+
+
 def test_rules_cost(odd):
     found = quality_rules.estimate(odd, sample_rows=10_000)
-    assert sum(found.failing.values()) == odd.count() and min(found.cost.values()) >= 0 and found.cost["repeats"] > found.cost["symbols"] / 2
+    assert sum(found.failing.values()) == odd.count() and min(found.cost.values()) > 0 and found.cost["n_repeat_words"] > found.cost["n_words"]
 
 
 def test_rules_on_nothing(none):
@@ -182,6 +219,39 @@ def test_classifier_tells_held_out_labels(spark):
     assert np.mean([s >= 0.3 for s in good]) > 0.95
 
 
+def test_scores_are_the_calibrated_difference_alone(spark, odd, odd_rows):
+    """By hand: two plain compressors, windows of the whole text, one difference a byte, one slope and one constant."""
+    import zstandard
+
+    m = compression_classifier.Model(" ".join(t for i, t in odd_rows[20:50] if t).encode(), b"same line\nother words " * 40, (3.0, 0.5))
+    of = lambda d: zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+    good, bad = of(m.good), of(m.bad)
+    want = []
+    for i, t in odd_rows:
+        raw = (t or "").encode()
+        away = sum(len(bad.compress(raw[a : a + 300])) - len(good.compress(raw[a : a + 300])) for a in range(0, len(raw), 300))
+        x = away / len(raw) if raw else 0.0
+        want.append((i, 1 / (1 + np.exp(-(m.weights[0] * x + m.weights[1])))))
+    got = [(r.doc_id, r.score) for r in compression_classifier.score(odd, m).select("doc_id", "score").collect()]
+    order = lambda v: sorted(v, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert len({round(s, 6) for _, s in got}) > 30
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(order(got), order(want), strict=True))
+
+
+def test_the_registered_classifier(spark, tables):
+    """One row a document, the held-out fifth by crc32 of the id, predicted at 0.3, equal texts with equal scores."""
+    rows = compression_classifier.op6(spark, tables).collect()
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    assert len(rows) == len(docs) and rows[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    text = {d.doc_id: d.text or "" for d in docs if d.doc_id is not None}
+    by = {}
+    for r in rows:
+        if r.doc_id is not None:
+            by.setdefault(text[r.doc_id], set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values())
+
+
 def test_classifier_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(100 + i, i % 2) for i in range(60)] + [(6, None), (None, 1)], "doc_id long, quality int")
     model = compression_classifier.fit(odd, labels)

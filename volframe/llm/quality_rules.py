@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from .shared import discard, read, save
 
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: Rows of the random sample that sets the rules' order.
-SAMPLE_ROWS = 1000
+#: Rows of the random sample that sets the rules' order, and files that it comes from at least, where there are more.
+SAMPLE_ROWS, SAMPLE_FILES = 1000, 16
+#: What a rule costs a row beyond the measures that it needs first, in seconds: a comparison.
+COMPARISON_S = 1e-7
 
 
 @dataclass(frozen=True)
@@ -88,63 +92,70 @@ def measure(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     return docs.drop(*(x for x in MEASURES if x not in names))
 
 
-def _cpu_seconds(df: DataFrame) -> float:
-    """The CPU seconds that Spark's own metrics give for the tasks of one run of df."""
-    context, group = df.sparkSession.sparkContext, f"rules-{uuid.uuid4().hex}"
-    before = context.getLocalProperty("spark.jobGroup.id"), context.getLocalProperty("spark.job.description")
-    context.setJobGroup(group, "cost of a quality rule")
-    try:
-        df.collect()  # one row
-    finally:
-        for key, value in zip(("spark.jobGroup.id", "spark.job.description"), before, strict=True):
-            context.setLocalProperty(key, value)
-    scala = context._jsc.sc()
-    scala.listenerBus().waitUntilEmpty()
-    tracker, total = context.statusTracker(), 0
-    for job in tracker.getJobIdsForGroup(group):
-        for stage in tracker.getJobInfo(job).stageIds:
-            total += scala.statusStore().lastStageAttempt(stage).executorCpuTime()
-    return total / 1e9
-
-
 @dataclass(frozen=True)
 class Estimates:
-    """cost: seconds of each rule over the sample. failing: how many rows of the sample fail exactly these rules."""
+    """cost: seconds that each measure takes for the sample once those it uses are there. failing: how many rows of the
+    sample fail exactly these rules."""
 
     rules: tuple[Rule, ...]
     cost: dict[str, float]
     failing: dict[frozenset[str], int]
 
+    def adds(self, rule: Rule, known: Sequence[str]) -> float:
+        """What a rule costs where the measures `known` are there already."""
+        return COMPARISON_S * sum(self.failing.values()) + sum(self.cost.get(x, 0.0) for x in _with_needs(rule.needs) if x not in known)
+
+
+def _of_some_files(docs: DataFrame, share: float) -> DataFrame:
+    """docs from about this share of its files, SAMPLE_FILES at least, chosen by a hash of their names. Spark leaves the
+    others out by name, unread. Whole, where it has few files or is not read from files at all."""
+    files = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()}, key=lambda f: hashlib.sha256(f.encode()).digest())
+    if len(files) <= SAMPLE_FILES or share >= 1:
+        return docs
+    try:
+        return docs.where(F.col("_metadata.file_name").isin(files[: max(SAMPLE_FILES, math.ceil(share * len(files)))]))
+    except AnalysisException:  # docs is not a plain read
+        return docs
+
+
+def _timed(measure: str) -> str:
+    """Nanoseconds that the evaluation of a measure takes for a row. The clock is read when the outer and when the inner
+    lambda's argument is there, and the measure is worked out in between."""
+    now = "CAST(reflect('java.lang.System', 'nanoTime') AS BIGINT)"
+    return f"transform(array({now}), _began -> transform(array({MEASURES[measure]}), _value -> {now} - _began + IF(_value IS NULL, 0L, 0L))[0])[0]"
+
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> Estimates:
-    """What each rule costs, in the tasks' CPU seconds, and which rules fail together, on a random sample of documents.
+    """What each measure costs and which rules fail together, on a random sample of documents.
 
-    The sample (about sample_rows rows, a parameter of the estimate alone) stays in Spark. It only sets the order of the
-    cascade, never which documents are kept. At most 2^(number of rules) counts reach the driver.
+    The sample (about sample_rows rows, of some files where there are many; both are parameters of the estimate alone) stays
+    in Spark, with all measures as columns, so that each is timed by itself, row by row, in one pass over it. It only sets
+    the order of the cascade, never which documents are kept. At most 2^(number of rules) counts reach the driver.
     """
-    n = docs.count()
-    drawn = docs.select("text").sample(fraction=min(1.0, sample_rows / max(1, n)), seed=1)
-    sample = save(drawn, "sample")
+    some = _of_some_files(docs, 8 * sample_rows / max(1, docs.count()))
+    drawn = some.select("text").sample(fraction=min(1.0, sample_rows / max(1, some.count())), seed=1)
+    names = _with_needs(list(dict.fromkeys(x for r in rules for x in r.needs)))
+    sample = save(measure(drawn, names), "sample")
+    times = sample.select(*(F.expr(_timed(x)).alias(x) for x in names)).agg(*((F.sum(x) / 1e9).alias(x) for x in names), F.count("*").alias("_rows"))
     cost = {}
-    for rule in rules:
-        judged = measure(sample, rule.needs).agg(F.count_if(F.expr(rule.fails)))
-        judged.collect()  # the first run also compiles
-        cost[rule.name] = _cpu_seconds(judged)
-    every = measure(sample, list(dict.fromkeys(x for r in rules for x in r.needs)))
-    flags = every.select(*(F.coalesce(F.expr(r.fails), F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect() if rules else []
+    for _ in range(2):  # the first pass also compiles
+        cost = {x: v or 0.0 for x, v in times.first().asDict().items() if x != "_rows"}
+    flags = sample.select(*(F.coalesce(F.expr(r.fails), F.lit(False)).alias(r.name) for r in rules)).groupBy(*(r.name for r in rules)).count().collect() if rules else []
     discard(sample)
     return Estimates(tuple(rules), cost, {frozenset(r.name for r in rules if row[r.name]): row["count"] for row in flags})
 
 
-def ordered(found: Estimates) -> list[Rule]:
+def ordered(found: Estimates, known: Sequence[str] = ()) -> list[Rule]:
     """Each next rule is the one with most rejections a second among the rows that the rules before it let through; by
-    name where that is equal."""
-    order, left, passing = [], list(found.rules), dict(found.failing)
+    name where that is equal. A rule's seconds are those of the measures that no rule before it has asked for, and that
+    are not in `known`."""
+    order, left, passing, there = [], list(found.rules), dict(found.failing), set(known)
     while left:
         rejected = {r.name: sum(n for fails, n in passing.items() if r.name in fails) for r in left}
-        best = min(left, key=lambda r: (-rejected[r.name] / max(found.cost[r.name], 1e-9), r.name))
+        best = min(left, key=lambda r: (-rejected[r.name] / max(found.adds(r, there), 1e-9), r.name))
         order.append(best)
         left.remove(best)
+        there |= set(_with_needs(best.needs))
         passing = {fails: n for fails, n in passing.items() if best.name not in fails}
     return order
 
@@ -180,8 +191,8 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int =
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the five measures that are asked of every document, base_failed and kept (false if any rule rejects). The
     cascade finds those measures ready and makes the others only for documents that come to a rule which needs them."""
-    order = ordered(estimate(docs, rules, sample_rows))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    order = ordered(estimate(docs, rules, sample_rows), names)
     judged = cascade(measure(docs.select("doc_id", "text"), names), order, "_rejected_by", names)
     return judged.select("doc_id", *names, F.expr(BASE_FAILED).alias("base_failed"), F.col("_rejected_by").isNull().alias("kept"))
 
