@@ -193,8 +193,42 @@ def test_loser_tree():
 def test_histories_are_ordered(spark):
     rows = [(f"k{random.Random(i).randint(0, 5)}", i % 3, str(i), f"run{i % 4}") for i in range(400)] + [(None, None, "n", "run0")]
     df = spark.createDataFrame(rows, "url_key string, captured_at long, page_key string, archive string")
-    got = [(r.url_key, r.captured_at, r.page_key) for r in warc.merge(df, "archive", ("url_key", "captured_at", "page_key")).collect()]
-    assert len(got) == 401 and got == sorted(got, key=lambda x: [(v is not None, v) for v in x])
+    by = ("url_key", "captured_at", "page_key")
+    want = sorted([r[:3] for r in rows], key=lambda x: [(v is not None, v) for v in x])
+    for range_rows, fan_in in ((10**6, 128), (30, 128), (30, 2), (1, 3)):
+        merged = warc.merge(df.repartition(9), by, range_rows, fan_in)
+        assert [(r.url_key, r.captured_at, r.page_key) for r in merged.collect()] == want and merged.columns == df.columns
+    assert merged.rdd.getNumPartitions() > 100  # one for each range
+    assert warc.merge(df.where("false"), by).collect() == []
+
+
+def test_a_merge_holds_a_batch_of_each_run(tmp_path):
+    """What a merge of sorted files holds does not grow with their rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    names, peak = ["k", "v"], {}
+    for n in (20_000, 200_000):
+        for run in range(4):
+            pq.write_table(pa.table({"k": [f"{i:08d}" for i in range(run, n, 4)], "v": list(range(run, n, 4))}), tmp_path / f"{n}-{run}", row_group_size=5000)
+        key = warc._key_of(names, ["k"])
+        tracemalloc.start()
+        low, high = key(("00001000", 0)), key((f"{n - 1000:08d}", 0))
+        merged = warc.LoserTree([warc._within(f"file://{tmp_path}/{n}-{r}", names, key, low, high) for r in range(4)], key)
+        assert sum(1 for i, row in enumerate(merged) if row[1] == i + 1000) == n - 2000
+        peak[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak[200_000] < 1.5 * peak[20_000]
+
+
+def test_null_and_repeated_ids(spark):
+    body = b"x" * 100
+    rows = [(None, body), (7, body), (7, body), (9, body), (None, b"y" * 100), (None, b"y" * 100), (3, b"short"), (4, b"short"), (5, None)]
+    df = spark.createDataFrame(rows, "page_id long, p binary")
+    got = sorted(((r.page_id, r.payload_bytes, r.refers_to) for r in warc.revisits(df, "page_id", F.col("p")).collect()), key=str)
+    assert got == sorted([(None, 100, 7), (7, 100, None), (7, 100, None), (9, 100, 7), (None, 100, None), (None, 100, None), (3, 5, None), (4, 5, None), (5, 0, None)], key=str)
 
 
 def test_rules_of_longest_match(spark):

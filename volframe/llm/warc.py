@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .media import Opened, _open
-from .shared import read, save, shared_path
+from .shared import giving_back, read, save, shared_path
 from .url_filters import host_of
 
 #: Payloads from this many bytes on are written once; later records of the same payload revisit the first.
@@ -21,8 +23,9 @@ LEAST_REVISITED = 100
 #: An archive is closed after this many bytes; this many bytes of an archive are read by one task.
 ARCHIVE_BYTES, RANGE_BYTES = 64_000_000, 16_000_000
 BATCH_ROWS = 2_000
-#: Rows of a run that a merge holds as Python values at a time, and the times that a record's date can state.
-HEAD_ROWS = 256
+#: Rows of a run that a merge holds at a time, runs that it merges at a time, rows of a range, keys that cut the ranges.
+HEAD_ROWS, FAN_IN, RANGE_ROWS, SPLITTERS = 512, 128, 100_000, 10_000
+#: The times that a record's date can state.
 FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
@@ -77,7 +80,8 @@ class LoserTree:
 
 def revisits(pages: DataFrame, key: str, payload: Column, least: int = LEAST_REVISITED) -> DataFrame:
     """pages with payload (null: empty), payload_bytes, payload_digest and refers_to: for payloads of at least `least`
-    bytes the smallest key with an equal payload, where that is another row's; else null.
+    bytes the smallest key with an equal payload, where that is another row's; else null. Rows that share the smallest key
+    all keep their payload; a row with a null key refers to the smallest key, if there is one.
 
     Firsts are pre-aggregated by digest, and the digests' side of the join has one row for each, so a payload that very
     many rows share can be split.
@@ -87,7 +91,7 @@ def revisits(pages: DataFrame, key: str, payload: Column, least: int = LEAST_REV
     narrow = pages.select(F.col(key), raw.alias("p")).where(F.octet_length("p") >= least).groupBy(F.sha2("p", 256).alias("payload_digest"))
     firsts = narrow.agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     joined = rows.join(firsts, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("_first") != F.col(key), F.col("_first"))).drop("_first")
+    return joined.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col(key)), F.col("_first"))).drop("_first")
 
 
 CAPTURE = "url_key string, captured_at long, page_key string, archive string, first_byte long, after_byte long"
@@ -193,42 +197,101 @@ def read_back(index: DataFrame, path: str) -> DataFrame:
     return runs.mapInArrow(opened, f"{CAPTURE}, {READ}")
 
 
-def merge(captures: DataFrame, run: str, by: Sequence[str]) -> DataFrame:
+def _key_of(names: Sequence[str], by: Sequence[str]) -> Callable[[tuple], tuple]:
+    """The merge order of a row: its values in `by`, nulls first."""
+    at = [names.index(c) for c in by]
+    return lambda row: tuple((row[i] is not None, row[i]) for i in at)
+
+
+def _bounds(runs: DataFrame, by: Sequence[str], n: int, range_rows: int) -> list[tuple]:
+    """Keys that cut the order of `by` in ranges of about range_rows of the n rows: quantiles of about SPLITTERS rows, every
+    so many-th of each run from a place of its own on."""
+    ranges = math.ceil(n / range_rows)
+    if ranges < 2:
+        return []
+    step = max(1, n // SPLITTERS)
+    place = F.col("_metadata.row_index") + F.pmod(F.xxhash64("_metadata.file_path"), F.lit(step))
+    some = runs.where(place % step == 0).select(*by).collect()  # about SPLITTERS keys
+    key = _key_of(list(by), by)
+    keys = sorted(key(tuple(r)) for r in some)
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def _within(uri: str, names: list[str], key: Callable[[tuple], tuple], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The rows of a sorted run from low on and before high. One batch of them is held; row groups that end before low or
+    begin after high, by the first column of the order, are not read."""
+    import pyarrow.parquet as pq
+
+    files, at = _open(uri)
+    first = names[0]
+    with files.open_input_file(at) as f:
+        parquet = pq.ParquetFile(f, pre_buffer=False)
+        of = parquet.schema_arrow.names.index(first)
+        for g in range(parquet.num_row_groups):
+            stats = parquet.metadata.row_group(g).column(of).statistics
+            if stats is not None and stats.has_min_max and not stats.null_count:
+                if low is not None and (True, stats.max) < low[0]:
+                    continue
+                if high is not None and (True, stats.min) > high[0]:
+                    return
+            for batch in parquet.iter_batches(batch_size=HEAD_ROWS, row_groups=[g], use_threads=False):
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = key(row)
+                    if high is not None and own >= high:
+                        return
+                    if low is None or own >= low:
+                        yield row
+
+
+def _parts(df: DataFrame) -> list[tuple[int, str]]:
+    """(partition that wrote it, name) of the files of a saved table, in order."""
+    found = [(int(m[1]), f) for f in df.inputFiles() if (m := re.search(r"/part-(\d+)-[^/]*$", f))]
+    return sorted(found)
+
+
+def merge(captures: DataFrame, by: Sequence[str], range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """captures in the global order of `by`: its partitions, one after the other, are sorted.
 
-    captures is saved and each run in it is sorted by `by`. Ranges of `by` go to one task each; there the pieces of the
-    runs are merged by a loser tree. A task holds a range's narrow rows as Arrow data, and of each run HEAD_ROWS rows as
-    values; Spark sizes the ranges. With a column in `by` that tells rows apart, no value of the others makes a range
-    large. Nulls come first; ties keep the order of their runs.
+    Tasks sort their rows and write them: the runs, one a file. Ranges of the order, of about range_rows rows by a count and
+    quantiles, are a task each: it reads its stretch of each run as a stream, a batch of HEAD_ROWS rows at a time, and
+    merges the streams by a loser tree, so what a task holds grows with the number of runs, not with the rows of its range.
+    Where there are more than fan_in runs, groups of fan_in are merged first, range by range, into longer runs. With a
+    column in `by` that tells rows apart, no value of the others makes a range large. Nulls come first; ties keep the
+    order of their runs. Runs outlast lost executors, and any range can be merged again from them.
     """
-    names, schema = captures.columns, captures.schema
-    positions = [names.index(c) for c in by]
-    key = lambda row: tuple((row[i] is not None, row[i]) for i in positions)
-    of = names.index(run)
-    ranged = captures.repartitionByRange(*(F.asc_nulls_first(c) for c in by)).sortWithinPartitions(run, *(F.asc_nulls_first(c) for c in by))
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str | None, list[pa.RecordBatch]] = {}
-        for b in batches:  # rows of a run stand together
-            at = 0
-            for name, some in itertools.groupby(b.column(of).to_pylist()):
-                n = sum(1 for _ in some)
-                pieces.setdefault(name, []).append(b.slice(at, n))
-                at += n
-
-        def rows(run: list[pa.RecordBatch]) -> Iterator[tuple]:
-            for b in run:
-                for at in range(0, b.num_rows, HEAD_ROWS):
-                    yield from zip(*(c.to_pylist() for c in b.slice(at, HEAD_ROWS).columns), strict=True)
-
-        runs = [rows(run) for run in pieces.values()]
-        for some in itertools.batched(LoserTree(runs, key), BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), pa_schema, strict=True)], names)
-
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    pa_schema = to_arrow_schema(schema)
-    return ranged.mapInArrow(merged, schema)
+    spark, schema = captures.sparkSession, captures.schema
+    names = [*by, *(c for c in captures.columns if c not in by)]
+    key, fields = _key_of(names, by), to_arrow_schema(captures.select(*names).schema)
+    order = [F.asc_nulls_first(c) for c in by]
+    runs = save(captures.select(*names).sortWithinPartitions(*order), "runs")
+    cuts = _bounds(runs, by, runs.count(), range_rows)
+    edges = list(zip([None, *cuts], [*cuts, None], strict=True))
+    files: dict[int | None, list[str]] = {None: [f for _, f in _parts(runs)]}  # of a range; None: of every range
+
+    def merging(groups: int, shared) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, bounds = shared.value
+            for b in batches:
+                for task in b.column(0).to_pylist():
+                    group, of = divmod(task, len(bounds))
+                    own = known.get(of, known.get(None, []))
+                    own = own[group * fan_in : (group + 1) * fan_in] if groups > 1 else own
+                    streams = [_within(f, names, key, *bounds[of]) for f in own]
+                    for some in itertools.batched(LoserTree(streams, key), BATCH_ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), fields, strict=True)], names)
+
+        tasks = groups * len(edges)
+        return spark.range(0, tasks, 1, tasks).mapInArrow(giving_back(work), runs.schema)
+
+    while (most := max(map(len, files.values()))) > fan_in:
+        groups = math.ceil(most / fan_in)
+        longer = save(merging(groups, spark.sparkContext.broadcast((files, edges))), "runs")
+        files = {i: [] for i in range(len(edges))}
+        for part, f in _parts(longer):
+            files[part % len(edges)].append(f)
+    return merging(1, spark.sparkContext.broadcast((files, edges))).select(*schema.names)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -238,8 +301,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
     )  # pages have no time of capture; the id stands for one
     path = shared_path(spark, "warc")
     index = write(rows, path)
-    captures = save(read_back(index, path), "records")
-    history = merge(captures, "archive", ("url_key", "captured_at", "page_key"))
+    captures = read_back(index, path)
+    history = merge(captures, ("url_key", "captured_at", "page_key"))
     return history.select(F.col("page_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "captured_at")
 
 
@@ -247,8 +310,8 @@ ORACLE = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages),
 d AS (SELECT *, octet_length(encode(t))::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to,
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to,
   lower(coalesce(array_to_string(list_reverse(string_split(translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',') || ')' || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1), '')) AS url_key,
   coalesce(page_id, 0) AS captured_at
 FROM f"""
