@@ -46,5 +46,6 @@ def tables(spark, odd_rows, tmp_path_factory):
     pages += [(40, "http://one.info/a", link("http://bad.net/")), (41, "http://two.info/", link("//one.info/a")), (42, "http://three.info/", link("/same")), (43, "http://three.info/same", "x")]
     pages += [(44, "http://four.info/", link("https://q.example.net/en/")), (45, "https://q.example.net/en/", link("http://r.net/")), (46, "http://five.info/", '<meta http-equiv="refresh" content="0; url=http://bad.net/">')]
     pages += [(47, None, None), (48, "no scheme", ""), (49, "a://b://c/d", pages[0][2]), (50, "http://z.org/", pages[0][2]), (51, "http://z.org/", pages[0][2]), (52, "http://k.org/", "short"), (53, "http://k.org/", "short")]
+    pages += [(60, "http://six.info/a/b", link("../c?x=1&amp;y=2")), (61, "http://six.info/c?x=1&y=2", "<meta http-equiv='refresh' content='1; URL=//BAD.net:80/z#top'>"), (62, "HTTP://SIX.info:80/a/./b#f", ""), (63, "http://six.info", link("a/b") + link("mailto:a@b"))]
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{at}/pages.parquet")
     return f"{at}"

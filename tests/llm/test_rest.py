@@ -244,6 +244,18 @@ def test_classes_take_decisions(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", None: "allow", 6: "allow"}
 
 
+@pytest.mark.parametrize("target", ["http://b.info/1", "HTTP://B.info:80/1#part", "//b.info/x/../1", "http://b.info/./1?", "http://b.info/0/.././1"])
+def test_aliases_of_a_blocked_url(spark, target):
+    """However a page writes its address and its links, a decision on the class reaches it."""
+    link = lambda to: f'<link rel="stylesheet" href="/s.css"><link href="{to}" rel="canonical"><LINK REL=canonical HREF=http://bad.net/x>'
+    pages = [(1, "http://b.info/1", link("http://bad.net/x")), (2, "HTTP://b.info/1", ""), (3, "http://b.info/1#f", ""), (4, "http://b.info:80/1", ""), (5, "http://c.info/deep/page.html?q", link(target.removesuffix("?")))]
+    pages += [(6, "http://c.info/deep/other", '<link rel=canonical href=page.html?q>'), (7, "http://c.info/deep/", '<link rel=canonical href="?x=1&amp;y=2">'), (8, "http://c.info/deep/?x=1&y=2", '<meta http-equiv=refresh content="0;url=../deep/other">')]
+    pages += [(9, "http://free.info/", '<link rel=canonical href="mailto:x@bad.net">'), (10, "http://free.info/#a", '<link rel=canonical href="#b">'), (11, "no scheme", link(target)), (12, None, None), (13, "http://free.info/b", "<link rel=next href=http://bad.net/x>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(df, url_filters.rule_table(spark), url_filters.links(df)).collect()}
+    assert got == {i: "block" for i in range(1, 9)} | {i: "allow" for i in range(9, 14)}
+
+
 def test_classifier_tells_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
