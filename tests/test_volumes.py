@@ -160,3 +160,47 @@ def test_two_mask_rules(spark):
     df = spark.createDataFrame([([1.0] + [0.0] * 7,)], "m array<double>")
     r = df.select(patches.touches_mask(F.col("m")).alias("t"), patches.mask_fraction(F.col("m")).alias("f")).first()
     assert r.t and r.f < patches.LEAST_FRACTION
+
+
+def oblique(step, turn):
+    c, s = np.cos(turn), np.sin(turn)
+    a = np.eye(4)
+    a[:3, :3] = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ np.diag(step)
+    a[:3, 3] = (1, -2, 3)
+    return a
+
+
+@pytest.mark.parametrize("crop", [False, True])
+@pytest.mark.parametrize("spacing", [1.0, 2.5, 0.7])
+def test_voxel_rows_are_the_dense_job(spark, crop, spacing):
+    """Coarser grids are smoothed first, finer ones read linearly, turned and mirrored axes put right, and both forms agree."""
+    from volframe.operators import voxels
+
+    rows = []
+    for i, affine in enumerate((np.eye(4), turned((0, -1, 1), (1, 1, 2), (2, 1, 1)), turned((1, 1, 1), (2, -1, 1.5), (0, 1, 0.6)), oblique((1.0, 2.0, 0.8), 0.3))):
+        shape = [(5, 4, 6), (3, 7, 2), (6, 5, 4), (4, 4, 5)][i]
+        mask = rng.random(shape) > 0.5
+        v, runs = volumes.packed((rng.normal(size=shape) * 100).round(), mask)
+        rows.append((f"v{i}", [int(x) for x in v], 0.01, runs.tolist(), list(shape), affine.tolist()))
+    df = spark.createDataFrame(rows, "path string, values array<int>, scale double, mask_rle array<long>, shape array<int>, affine array<array<double>>")
+    spec = volumes.VolumeSpec((5, 6, 4), spacing=spacing, use_scale=not crop, crop=crop)
+    got = {}
+    for r in voxels.prepare(df, "path", spec).collect():
+        got.setdefault(r.path, []).append(r)
+    for row in rows:
+        image, mask, affine = volumes.prepared(*row[1:], spec)
+        own = {(r.x, r.y, r.z): r.value for r in got[row[0]]}
+        assert set(own) == set(map(tuple, np.argwhere(mask > 0).tolist()))
+        assert all(own[at] == pytest.approx(image[at], abs=1e-9) for at in own)
+        assert np.allclose(got[row[0]][0].affine, affine)
+
+
+def test_bad_voxel_rows(spark):
+    from volframe.operators import voxels
+
+    kind = "path string, values array<int>, scale double, mask_rle array<long>, shape array<int>, affine array<array<double>>"
+    for runs, said in (([1, 2], "add up"), ([6, 2], "another number")):
+        df = spark.createDataFrame([("v", [1], 1.0, runs, [2, 2, 2], np.eye(4).tolist())], kind)
+        with pytest.raises(Exception, match=said):
+            voxels.unpacked(df, "path").collect()
+    assert voxels.unpacked(spark.createDataFrame([("v", [], 1.0, [8], [2, 2, 2], np.eye(4).tolist())], kind), "path").collect() == []

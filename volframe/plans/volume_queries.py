@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volframe.operators import curate, embed, geometry, ordering, patches, values, volumes
+from volframe.operators import curate, embed, geometry, ordering, patches, values, volumes, voxels
 from volframe.plans import fixtures as fx
 from volframe.plans.queries import _FRAC2_SQL, _HEAD_SQL, _SAMPLE_SQL, _TOKEN_SQL, ORACLE_SQL, WEIGHTS, _flat, _headers, _patches, _samples, _tokens, _total, query, rounded
 from volframe.plans.scratch import scratch_path
@@ -197,6 +197,22 @@ def evaluation_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cells.select("path", "voxel", F.col("v.image").cast("double").alias("value")), "value")
 
 
+def _voxel_rows(df: DataFrame) -> DataFrame:
+    place = (F.col("x") * F.col("shape")[1] + F.col("y")) * F.col("shape")[2] + F.col("z")
+    return rounded(df.select("path", place.cast("int").alias("voxel"), F.col("value").cast("float").cast("double").alias("value")), "value")
+
+
+@query(ORACLE_SQL["prepared_voxels"])
+def voxel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same preparation in DataFrame operations on voxels."""
+    return _voxel_rows(voxels.prepare(fx.volumes(spark, sf_dir), "path", volumes.VolumeSpec(grid=(8, 6, 4))))
+
+
+@query(ORACLE_SQL["evaluation_voxels"])
+def evaluation_voxel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voxel_rows(voxels.prepare(fx.volumes(spark, sf_dir), "path", volumes.VolumeSpec(grid=(8, 6, 4), use_scale=False, crop=True)))
+
+
 # Embedding records
 
 
