@@ -376,7 +376,8 @@ def score_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _groups(spark, sf_dir)
     name = F.concat(F.lit("recipe number "), F.substring("recipe", 2, 9), F.when(F.col("seed") == 2, " of seeds").otherwise(""))
-    metrics = F.map_from_arrays(F.array(*map(F.lit, _FOUR)), F.array(*(F.round(k, 6) for k in _FOUR)))
+    # in thousandths, which both engines write without an exponent
+    metrics = F.map_from_arrays(F.array(*map(F.lit, _FOUR)), F.array(*(F.round(F.col(k) * 1000 + NUDGE, 3) for k in _FOUR)))
     return g.select(F.concat_ws("-", "recipe", "seed").alias("run"), name.alias("name"), F.lit(None).cast("string").alias("notes"), "open", metrics.alias("metrics"))
 
 
@@ -388,7 +389,13 @@ def submission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("run", "name", has("scored").alias("unscored"), has("characters").alias("long_name"), "valid")
 
 
-@query()
+_KEYS_SQL = " || ".join(f"""CASE WHEN {k} IS NULL THEN '"{k}":null' ELSE '"{k}":' || round({k} * 1000 + 1e-9, 3) END || '{"," if k != "segmentation" else ""}'""" for k in sorted(_FOUR))
+
+
+@query(f"""WITH {_GROUP_SQL}, rn AS (SELECT *, recipe || '-' || seed AS run, 'recipe number ' || substring(recipe, 2) || CASE WHEN seed = 2 THEN ' of seeds' ELSE '' END AS name FROM gr),
+d AS (SELECT run, '{{"metrics":{{' || {_KEYS_SQL} || '}},"name":"' || name || '","notes":"","run":"' || run || '","validation_errors":['
+  || array_to_string(list_filter([CASE WHEN open IS NULL THEN '"task group is not scored"' END, CASE WHEN length(name) > 20 THEN '"name has more than 20 characters"' END], lambda e: e IS NOT NULL), ',') || ']}}' AS payload FROM rn)
+SELECT run, payload, substring(sha256(payload), 1, 10) AS submission_id FROM d""")
 def submission_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.submissions(_runs(spark, sf_dir), "metrics").select("run", "payload", "submission_id")
 
