@@ -189,10 +189,10 @@ def test_voxel_rows_are_the_dense_job(spark, crop, spacing):
         got.setdefault(r.path, []).append(r)
     for row in rows:
         image, mask, affine = volumes.prepared(*row[1:], spec)
-        own = {(r.x, r.y, r.z): r.value for r in got[row[0]]}
+        own = {(r.x, r.y, r.z): r.value for r in got.get(row[0], [])}  # a coarse grid may miss the mask
         assert set(own) == set(map(tuple, np.argwhere(mask > 0).tolist()))
         assert all(own[at] == pytest.approx(image[at], abs=1e-9) for at in own)
-        assert np.allclose(got[row[0]][0].affine, affine)
+        assert all(np.allclose(r.affine, affine) for r in got.get(row[0], []))
 
 
 def test_bad_voxel_rows(spark):
