@@ -64,6 +64,20 @@ def test_near_copies(spark, k, threshold):
     same(spark, rows, k, threshold)
 
 
+@pytest.mark.parametrize("bits", [1, 3])
+def test_sets_that_share_a_number(spark, bits):
+    """Classes whose first numbers are the same, which 64 bits hardly ever are, are told apart by the second."""
+    rng = random.Random(bits)
+    some = lambda n: [f"w{rng.randint(0, 500)}" for _ in range(n)]
+    bases = [some(rng.choice((1, 5, 40))) for _ in range(15)]
+    rows = [(i, " ".join(some(1) + base[1:] if rng.random() < 0.3 else base)) for i, base in enumerate(bases * 5)] + [(99, ""), (98, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = ngram_join._Join(df, "doc_id", "text", ngram_join.Sets(2, bits=bits), 90)
+    assert len(one.ways.doubled) > 2**bits // 2 and one.classes.count() == len({frozenset(shingles(t, 2)) for _, t in rows}) - 1
+    got = [(r.doc_id, r.n, r.component_id if r.n else r.doc_id, r.m - 1 + (r.others or 0) if r.n else 0) for r in one.result(links=True).collect()]
+    assert sorted(got, key=str) == brute(rows, 2, 90)
+
+
 def test_odd_rows(spark, odd_rows):
     distinct = list({i: (i, t) for i, t in odd_rows if i is not None}.values()) + [r for r in odd_rows if r[0] is None]
     same(spark, distinct, 3, 90)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from volframe.llm import minhash
-from volframe.llm.ngram_join import ngram_sets
+from volframe.llm.ngram_join import Sets, ngram_sets
 
 from .test_join import brute
 
@@ -21,6 +21,15 @@ def test_odd_rows(spark, odd, odd_rows, k, threshold):
     assert sorted(set(result(df)), key=str) == want and df.count() == len(rows)
 
 
+def test_sets_that_share_a_number(spark, odd, odd_rows):
+    """A class's bitmaps and bands are made even where its task has met its first number on another set."""
+    rows = [(i, t) for i, t in odd_rows if i is not None]
+    one = minhash._NearCopies(odd.where("doc_id IS NOT NULL").coalesce(1), "doc_id", "text", Sets(4, bits=2), 80, 20, 3)
+    assert len(one.ways.doubled) == 4 and one.sketched.select("c").distinct().count() == one.classes.count()
+    got = {(r.doc_id, r.n, r.component_id if r.n else r.doc_id) for r in one.result(links=False).collect()}
+    assert got == {(i, n, low) for i, n, low, _ in brute(rows, 4, 80)}
+
+
 def test_null_keys(spark, odd, odd_rows):
     found = [r for r in minhash.near_copies(odd, k=4).collect() if r.doc_id is None]
     assert len(found) == 2 and {(r.n_shingles > 0, r.component_id, r.kept) for r in found} == {(True, 6, False), (False, None, True)}

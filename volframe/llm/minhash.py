@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import FIRST_PAIRS, _binary, _Join, _mix, _Once, _runs_of, _texts, bitmaps, classes_of, ngram_sets
+from .ngram_join import FIRST_PAIRS, Sets, _binary, _Join, _mix, _Once, _runs_of, _texts, bitmaps, told_apart
 from .shared import discard, giving_back, read, save, sized
 
 #: Bins of a band; the chance that a pair at the threshold has no band in common; stars that a class is a point of.
@@ -94,17 +94,17 @@ def band_keys(sketch: np.ndarray, band_bins: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCHED = "doc_id long, th long, n long, c long, bits binary, coarse binary, bands array<long>"
+SKETCHED = "doc_id long, th long, n long, c long, d long, bits binary, coarse binary, bands array<long>"
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], k: int, threshold: int, bands: int, band_bins: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], ways: Sets, threshold: int, bands: int, band_bins: int) -> Iterator[pa.RecordBatch]:
     """A row for each document; the first of a class in a task has the class's bitmaps and bands too."""
-    once = _Once()
+    once, other = _Once(), _Once()
     for b in batches:
         for at, run in _runs_of(_texts(b)):
-            sizes, grams = ngram_sets(run, k)
-            c = classes_of(sizes, grams)
-            new = once.new(c) & (sizes > 0)
+            sizes, grams, *numbers = ways.both(run)
+            c, d = (x.view(np.int64) for x in numbers)
+            new = (once.new(c) | other.new(d)) & (sizes > 0)
             own, of = sizes[new], grams[np.repeat(new, sizes)]
             ends = np.cumsum(own)
             keys = [np.zeros((0, bands), np.int64)]
@@ -115,21 +115,20 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int, threshold: int, bands:
             place = pa.array(np.where(new, np.cumsum(new) - 1, 0), mask=~new)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             wide = [x.take(place) for x in (_binary(*bitmaps(own, of)), _binary(*bitmaps(own, of, threshold)), lists)]
-            columns = [b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes.astype(np.int64)), pa.array(c, mask=sizes == 0), *wide]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "c", "bits", "coarse", "bands"])
+            columns = [b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes.astype(np.int64)), *(pa.array(x, mask=sizes == 0) for x in (c, d)), *wide]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "c", "d", "bits", "coarse", "bands"])
 
 
 class _NearCopies(_Join):
     """The join's steps from pairs on, over buckets of bands."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, k: int, threshold: int, bands: int, band_bins: int):
-        self.k, self.threshold = k, threshold
+    def __init__(self, docs: DataFrame, key: str, text: str, ways: Sets, threshold: int, bands: int, band_bins: int):
+        self.threshold = threshold
         self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
-        described = save(self.rows.mapInArrow(giving_back(lambda it: _sketched(it, k, threshold, bands, band_bins)), SKETCHED), "sketches")
+        described = save(self.rows.mapInArrow(giving_back(lambda it: _sketched(it, ways, threshold, bands, band_bins)), SKETCHED), "sketches")
+        described, self.classes, self.ways = told_apart(described, ways)
         self.sets = described.select("doc_id", "th", "n", "c")
         self.sketched = described.where("bands IS NOT NULL").select("c", "n", "bits", "coarse", "bands")
-        grouped = self.sets.where("n > 0").groupBy("c").agg(F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
-        self.classes = save(grouped, "classes")
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """(bucket, c, ns): the classes of each band key that several have, one key for all that have the same classes; and
@@ -199,7 +198,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     if not 50 <= threshold <= 100:
         raise ValueError("threshold must be 50 to 100 percent")
-    found = _NearCopies(docs, key, text, k, threshold, bands or bands_for(threshold, band_bins), band_bins).result(links=False)
+    found = _NearCopies(docs, key, text, Sets(k), threshold, bands or bands_for(threshold, band_bins), band_bins).result(links=False)
     least = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"),

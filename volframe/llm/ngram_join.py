@@ -25,6 +25,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -156,16 +157,40 @@ def _run_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _digests(sizes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that equal sets share and unequal ones do not."""
-    return _run_sums(_mix(grams ^ U(0x5851F42D4C957F2D)), sizes).view(np.int64), _run_sums(_mix(grams ^ U(0x14057B7EF767814F)), sizes).view(np.int64)
+class Sets(NamedTuple):
+    """How texts become sets of n-grams and sets classes, alike in all tasks. A class is told by a number of 64 bits or, where
+    sets that differ share that (`doubled`, ascending), by another of 64. bits: fewer of the first, to test what then happens."""
 
+    k: int
+    bits: int = 64
+    doubled: np.ndarray = np.zeros(0, np.uint64)
 
-def classes_of(sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """A number for each set: equal sets have equal ones, others differ but for collisions of 64 bits."""
-    s1 = _run_sums(_mix(grams ^ U(0x5851F42D4C957F2D)), sizes)
-    s2 = _run_sums(_mix(grams ^ U(0x14057B7EF767814F)), sizes)
-    return _mix(s1 + _mix(s2 + sizes.astype(np.uint64))).view(np.int64)
+    def both(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, the sets' n-grams on end, first and second number of each set): together the same for equal sets alone, but
+        for collisions of 128 bits."""
+        sizes, grams = ngram_sets(texts, self.k)
+        one = _run_sums(_mix(grams ^ U(0x5851F42D4C957F2D)), sizes)
+        two = _run_sums(_mix(grams ^ U(0x14057B7EF767814F)), sizes)
+        return sizes, grams, _mix(one + _mix(two + sizes.astype(np.uint64))) >> U(64 - self.bits), _mix(two)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, n-grams on end, class of each set)."""
+        sizes, grams, c, other = self.both(texts)
+        return sizes, grams, np.where(np.isin(c, self.doubled), other, c).view(np.int64)
+
+
+def told_apart(sets: DataFrame, ways: Sets) -> tuple[DataFrame, DataFrame, Sets]:
+    """(sets, with the class as c; the classes (c, n, th, class_id, m), saved; ways that give the same classes) of rows that have
+    Sets.both's numbers as c and d. Of N sets some N * N / 2^65 share the first: 300 of 10^11, so these are collected."""
+    own = F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("class_id"), F.count("*").alias("m")
+    classes = save(sets.where("n > 0").groupBy("c").agg(*own, F.min("d").alias("low"), F.max("d").alias("high")), "classes")
+    doubled = classes.where("low < high").select("c")
+    values = np.sort(np.array([r["c"] for r in doubled.collect()], np.int64).view(np.uint64))
+    if len(values):
+        two = doubled.withColumn("_two", F.lit(True))
+        sets = sets.join(F.broadcast(two), "c", "left").withColumn("c", F.when(F.col("_two"), F.col("d")).otherwise(F.col("c"))).drop("_two")
+        classes = save(sets.where("n > 0").groupBy("c").agg(*own), "classes")
+    return sets, classes.select("c", "n", "th", "class_id", "m"), ways._replace(doubled=values)
 
 
 class _Once:
@@ -185,13 +210,13 @@ class _Once:
         return first
 
 
-SETS = "doc_id long, th long, n long, c long"
+SETS = "doc_id long, th long, n long, c long, d long"
 
 
-def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], ways: Sets) -> Iterator[pa.RecordBatch]:
     """A row for each document; then, with a null doc_id and n = -1, n-grams (th) that are common in a stretch of the
     rows, with the number of documents (c) that have them."""
-    names = ["doc_id", "th", "n", "c"]
+    names = ["doc_id", "th", "n", "c", "d"]
     held: list[np.ndarray] = []
     n_docs = size = 0
 
@@ -199,13 +224,13 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         values, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = times >= max(8, COMMON_SHARE * n_docs)
         m = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(np.full(m, -1)), pa.array(times[often].astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(np.full(m, -1)), pa.array(times[often].astype(np.int64)), pa.nulls(m, pa.int64())], names)
 
     for b in batches:
         for at, run in _runs_of(_texts(b)):
-            sizes, grams = ngram_sets(run, k)
-            c = pa.array(classes_of(sizes, grams), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes.astype(np.int64)), c], names)
+            sizes, grams, *numbers = ways.both(run)
+            c, d = (pa.array(x.view(np.int64), mask=sizes == 0) for x in numbers)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes.astype(np.int64)), c, d], names)
             held.append(grams)
             n_docs += len(run)
             size += len(grams)
@@ -295,12 +320,11 @@ def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
 PREFIXES = "c long, n long, bits binary, coarse binary, short int, calm int, tokens array<long>"
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], k: int, threshold: int, common: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefix_rows(batches: Iterator[pa.RecordBatch], ways: Sets, threshold: int, common: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for b in batches:
         for _, run in _runs_of(_texts(b)):
-            sizes, grams = ngram_sets(run, k)
-            c = classes_of(sizes, grams)
+            sizes, grams, c = ways.of(run)
             new = once.new(c) & (sizes > 0)
             grams, sizes, c = grams[np.repeat(new, sizes)], sizes[new], c[new]
             longer, shorter, calm, tokens = prefixes(sizes, grams, threshold, common, times)
@@ -443,13 +467,12 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: int, most: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, c[i], c[j], more)], ["bucket", "a", "b", "held_back"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], ways: Sets) -> Iterator[pa.RecordBatch]:
     """(c, fragment, grams): the sets cut by the fragments of the hashes' order; empty segments are left out."""
     once = _Once()
     for b in batches:
         for _, run in _runs_of(_texts(b)):
-            sizes, grams = ngram_sets(run, k)
-            c = classes_of(sizes, grams)
+            sizes, grams, c = ways.of(run)
             new = once.new(c)
             grams, sizes, c = grams[np.repeat(new, sizes)], sizes[new], c[new]
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -497,12 +520,11 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(held)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], ways: Sets) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for b in batches:
         for _, run in _runs_of(_texts(b)):
-            sizes, grams = ngram_sets(run, k)
-            c = classes_of(sizes, grams)
+            sizes, grams, c = ways.of(run)
             new = once.new(c)
             yield pa.RecordBatch.from_arrays([pa.array(c[new]), _binary(sizes[new] * 8, grams[np.repeat(new, sizes)])], ["_doc", "grams"])
 
@@ -580,16 +602,14 @@ def _tiles(members: DataFrame, threshold: int) -> DataFrame:
 class _Join:
     """One run of the join: its tables in the shared folder and the steps on them."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, k: int, threshold: int):
-        self.k, self.threshold = k, threshold
+    def __init__(self, docs: DataFrame, key: str, text: str, ways: Sets, threshold: int):
+        self.threshold = threshold
         self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
-        described = save(self.rows.mapInArrow(giving_back(lambda it: _describe(it, k)), SETS), "sets")
+        described = save(self.rows.mapInArrow(giving_back(lambda it: _describe(it, ways)), SETS), "sets")
         often = described.where("doc_id IS NULL AND n = -1").groupBy("th").agg(F.sum("c").alias("times")).orderBy(F.desc("times"), "th").limit(COMMON_MOST)
         most = sorted((r["th"] % 2**64, r["times"]) for r in often.collect())  # at most COMMON_MOST
         self.common = np.array([x for x, _ in most], np.uint64), np.array([x for _, x in most], np.int64)
-        self.sets = described.where("n >= 0")
-        grouped = self.sets.where("n > 0").groupBy("c").agg(F.min("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
-        self.classes = save(grouped, "classes")
+        self.sets, self.classes, self.ways = told_apart(described.where("n >= 0"), ways)
 
     def texts(self, classes: DataFrame) -> DataFrame:
         """The rows whose text stands for one of these classes (c): few by broadcast, else each text moves once."""
@@ -597,9 +617,9 @@ class _Join:
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """(bucket, c, ns): classes with an n-gram in their prefixes in common; and (c, n, bits, coarse) of these classes."""
-        spark, k, threshold = self.rows.sparkSession, self.k, self.threshold
+        spark, ways, threshold = self.rows.sparkSession, self.ways, self.threshold
         common = spark.sparkContext.broadcast(self.common)
-        rows = save(self.rows.mapInArrow(giving_back(lambda it: _prefix_rows(it, k, threshold, *common.value)), PREFIXES), "prefixes")
+        rows = save(self.rows.mapInArrow(giving_back(lambda it: _prefix_rows(it, ways, threshold, *common.value)), PREFIXES), "prefixes")
         each = rows.select("c", "n", F.expr("inline(transform(tokens, (t, i) -> struct(t AS token, i < short AS short, i >= calm AS hot)))"))
         each = each.select("token", "c", (F.col("n") * 2 + F.col("short").cast("long")).alias("ns"), "hot")
         calm = each.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(giving_back(lambda it: _meet(it, threshold)), "bucket long, c long, ns long")
@@ -610,11 +630,14 @@ class _Join:
         return found, bits
 
     def hub_pairs(self, buckets: DataFrame, hubs: DataFrame, bits: DataFrame) -> DataFrame:
-        """(a, b, na, nb): each bucket's hubs a with its other classes b, where the filter lets them through."""
+        """(a, b, na, nb), saved: each bucket's hubs a with its other classes b, where the filter lets them through."""
         near = f"100 * least(n, na) >= {self.threshold} * greatest(n, na) AND (n <= na AND ns % 2 = 1 OR na <= n AND hub.ns % 2 = 1)"
         met = buckets.join(hubs, "bucket").select("c", "ns", F.explode(F.expr("CASE c WHEN low.c THEN array() WHEN high.c THEN array(low) ELSE array(low, high) END")).alias("hub"))
         pairs = met.withColumns({"n": F.expr("ns DIV 2"), "na": F.expr("hub.ns DIV 2")}).where(near).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
-        return self.filtered(save(self.filtered(pairs, bits, "coarse").select("a", "b"), "coarse_pairs"), bits)
+        near = save(self.filtered(pairs, bits, "coarse").select("a", "b"), "coarse_pairs")
+        kept = save(self.filtered(near, bits), "pairs")
+        discard(near)
+        return kept
 
     def filtered(self, pairs: DataFrame, bits: DataFrame, bitmap: str = "bits") -> DataFrame:
         """(a, b, na, nb) of the pairs (a, b) that their bitmaps let through; na and nb are sizes. only the
@@ -648,9 +671,9 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, na, nb), na and nb being sizes, those (a, b) that are similar enough, saved. Each set's segments meet its hubs' by fragment."""
-        k, threshold = self.k, self.threshold
+        ways = self.ways
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        segments = self.texts(ends).mapInArrow(giving_back(lambda it: _segments(it, k)), "sc long, fragment int, grams binary")
+        segments = self.texts(ends).mapInArrow(giving_back(lambda it: _segments(it, ways)), "sc long, fragment int, grams binary")
         chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SETS).alias("chunks"))
         dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
         sides = dealt.select("a", "chunk", F.lit(1).alias("side"), F.col("b").alias("c")).unionByName(dealt.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("c")).distinct())
@@ -658,39 +681,45 @@ class _Join:
         by = ("a", "chunk", "fragment")
         counted = met.repartition(*by).sortWithinPartitions(*by).mapInArrow(giving_back(_partial), "a long, b long, overlap long")
         total = counted.groupBy("a", "b").agg(F.sum("overlap").alias("o")).join(pairs, ["a", "b"])
-        return save(total.where(f"100 * o >= {threshold} * (na + nb - o)").select("a", "b"), "linked")
+        return save(total.where(f"100 * o >= {self.threshold} * (na + nb - o)").select("a", "b"), "linked")
 
     def components(self) -> DataFrame:
         """(c, part) of every class that links with another; part is the smallest class that links reach."""
         buckets, bits = self.buckets()
         hubs = save(buckets.groupBy("bucket").agg(F.min(F.struct("c", "ns")).alias("low"), F.max(F.struct("c", "ns")).alias("high"), F.count("*").alias("m")), "hubs")
-        pairs = save(self.hub_pairs(buckets, hubs.drop("m"), bits), "pairs")
+        pairs = self.hub_pairs(buckets, hubs.drop("m"), bits)
         links = self.verified(pairs)
         rest = save(buckets.join(hubs.where("m > 3").drop("m"), "bucket").where("c <> low.c AND c <> high.c").select("bucket", "c", "ns"), "rest")
         hung = lambda edges: connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("part"))
         parts = hung(links)
-        left = rest
+        left, over = rest, [pairs, links]
         for most in (*FIRST_PAIRS, 2**62):
             now = save(left.join(parts, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed")
             found = save(self.across(now, bits, most), "across")
+            for table in over:
+                discard(table)
+            over = [now, found]
             if found.isEmpty():
                 break
-            new = self.verified(save(self.filtered(save(found.select("a", "b").distinct(), "coarse_pairs"), bits), "pairs"))
+            near = save(found.select("a", "b").distinct(), "coarse_pairs")
+            met = save(self.filtered(near, bits), "pairs")
+            new = self.verified(met)
+            over += [near, met, new]
             if not new.isEmpty():  # known components go on as stars
                 parts = save(hung(new.unionByName(parts.select(F.col("part").alias("a"), F.col("c").alias("b")))), "parts")
             back = found.where("held_back").select("bucket").distinct()
             if back.isEmpty():
                 break
             left = rest.join(back, "bucket", "left_semi")
-        for table in (buckets, bits, hubs, pairs, rest):
+        for table in (buckets, bits, hubs, rest, *over):
             discard(table)
         return parts
 
     def n_links(self, parts: DataFrame) -> DataFrame:
         """(c, links) of every class that links with another."""
-        k, threshold = self.k, self.threshold
+        ways, threshold = self.ways, self.threshold
         members = save(parts.join(self.classes, "c").select(F.col("part").alias("cluster"), F.col("c").alias("doc"), "n", "m"), "members")
-        sets = self.texts(members.select(F.col("doc").alias("c"))).mapInArrow(giving_back(lambda it: _tokens(it, k)), "_doc long, grams binary")
+        sets = self.texts(members.select(F.col("doc").alias("c"))).mapInArrow(giving_back(lambda it: _tokens(it, ways)), "_doc long, grams binary")
         dealt = _tiles(members, threshold).join(sets, F.col("doc") == F.col("_doc")).drop("_doc")
         return dealt.repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR).mapInArrow(giving_back(lambda it: _count(it, threshold)), "c long, links long").groupBy("c").agg(F.sum("links").alias("others"))
 
@@ -712,7 +741,7 @@ def join(docs: DataFrame, key: str, text: str, k: int = 3, threshold: int = 90,
     equal set. Rows without words, or with a null text, link with nothing, and their component is their own id. key: a
     column of integers. Rows are told apart by their sets, not by the key: rows with a null key, and several texts with
     one key, link like others; only null ids can't be the smallest, and where there are no others both ids are null.
-    Repeated rows are copies. Sets, and n-grams, are compared by 64-bit hashes. threshold: 50 to 100.
+    Repeated rows are copies. Sets are compared by 128 bits, n-grams by 64. threshold: 50 to 100.
     Without links the work does not grow with the square of a group of near copies; see the module's head.
     """
     found = _checked(docs, key, text, k, threshold).result(links)
@@ -725,7 +754,7 @@ def join(docs: DataFrame, key: str, text: str, k: int = 3, threshold: int = 90,
 def _checked(docs: DataFrame, key: str, text: str, k: int, threshold: int) -> _Join:
     if not 50 <= threshold <= 100:
         raise ValueError("threshold must be 50 to 100 percent")
-    return _Join(docs, key, text, k, threshold)
+    return _Join(docs, key, text, Sets(k), threshold)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
