@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,20 @@ def test_odd_blanks():
 
 def test_empty_tables(none):
     assert sentencepieces.encode(none, "doc_id", "text").count() == 0 and token_counts.count_tokens(none, "doc_id", "text").count() == 0
+
+
+def test_a_worker_keeps_few_words(monkeypatch):
+    """What a task has learnt stays for the next, but no more than so many words: workers outlive their tasks."""
+    monkeypatch.setattr(packing, "REST_WORDS", 100)
+    tokenizing.shared.cache_clear()
+    path = tokenizing.tokenizer_file(packing.TOKENIZER)
+    rng = random.Random(5)
+    texts = [" ".join(["often", "Seen,", *(f"w{rng.random()}" for _ in range(50))]) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], ["_key", "text"])
+    first = list(packing._cut(iter([batch]), path, 4096, 2, True))
+    store = tokenizing.shared(tokenizing.WordEncoder, path).store
+    assert len(store.at) == 100 and {"often", "seen"} <= set(store.at)
+    assert list(packing._cut(iter([batch]), path, 4096, 2, True)) == first
+    store.rest(0)
+    assert not store.at and list(packing._cut(iter([batch]), path, 4096, 2, True)) == first
+    tokenizing.shared.cache_clear()

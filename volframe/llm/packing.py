@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import giving_back, numbered, read, save
-from .tokenizing import WordEncoder, groups, shared, texts_of, tokenizer_file
+from .tokenizing import REST_WORDS, WordEncoder, groups, shared, texts_of, tokenizer_file
 
 CAPACITY = 4096
 END_ID = 2
@@ -128,24 +128,27 @@ def pack(runs: DataFrame, length: str, capacity: int = CAPACITY) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder = shared(WordEncoder, path)
-    for batch in batches:
-        for first, texts in groups(texts_of(batch)):
-            counts, ids = encoder.encode(texts)
-            rows: list[tuple] = []
-            at = 0
-            for i, n in enumerate(counts):
-                own = np.append(ids[at : at + n], end_id).astype("<u4")
-                at += n
-                for start in range(0, len(own), capacity):
-                    piece = own[start : start + capacity]
-                    rows.append((first + i, start, len(piece), zlib.crc32(piece.tobytes()), len(own), piece if with_ids else None))
-            where, *columns, pieces = zip(*rows, strict=True)
-            arrays = [batch.column(0).take(pa.array(where)), *(pa.array(c, pa.int64()) for c in columns)]
-            names = ["_key", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays.append(pa.array(pieces, pa.list_(pa.int64())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+    try:
+        for batch in batches:
+            for first, texts in groups(texts_of(batch)):
+                counts, ids = encoder.encode(texts)
+                rows: list[tuple] = []
+                at = 0
+                for i, n in enumerate(counts):
+                    own = np.append(ids[at : at + n], end_id).astype("<u4")
+                    at += n
+                    for start in range(0, len(own), capacity):
+                        piece = own[start : start + capacity]
+                        rows.append((first + i, start, len(piece), zlib.crc32(piece.tobytes()), len(own), piece if with_ids else None))
+                where, *columns, pieces = zip(*rows, strict=True)
+                arrays = [batch.column(0).take(pa.array(where)), *(pa.array(c, pa.int64()) for c in columns)]
+                names = ["_key", "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    arrays.append(pa.array(pieces, pa.list_(pa.int64())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
+    finally:
+        encoder.store.rest(REST_WORDS)
 
 
 def cut(docs: DataFrame, key: str, text: str, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 #: Chunks, and lower-case words, that a Python worker keeps before it drops the rarer ones: a bound on its memory.
 CACHE_CHUNKS = 300_000
 CACHE_WORDS = 700_000
+#: Words that a worker still keeps once a task has ended: it lives on, and so would all that it keeps.
+REST_WORDS = 50_000
 #: Characters that are taken through numpy at a time.
 BATCH_CHARS = 1_000_000
 
@@ -55,6 +57,18 @@ class ChunkStore:
         self.at = dict(zip(chunks, range(len(kept)), strict=True))
         self.used = np.zeros(len(kept), np.int64)
 
+    def rest(self, most: int) -> None:
+        """Keep the `most` chunks that came most often. They are copied, so that no memory is held for the sake of a few that
+        lie scattered in it."""
+        if len(self.at) <= most:
+            return
+        kept = np.sort(np.argpartition(self.used, -most)[-most:]) if most else np.zeros(0, np.int64)
+        chunks = pa.array(np.array(list(self.at), object)[kept], pa.large_string())
+        (self.lengths, self.values), self.used = self.gather(kept), self.used[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.at = {}
+        self.at = dict(zip(chunks.to_pylist(), range(len(kept)), strict=True))
+
     def rows(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk, after learning those that are new."""
         if len(self.at) > self.most:
