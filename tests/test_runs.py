@@ -3,12 +3,14 @@ import json
 import tarfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from volframe.functions.arrays import lower_median
 from volframe.operators import embed, epochs, leaderboard, telemetry
 from volframe.sources import runs, shards
+from volframe.streaming import live
 
 
 def test_lower_median(spark):
@@ -141,3 +143,44 @@ def test_pooling(spark):
     df = spark.createDataFrame(rows, "path string, patch_id int, token array<double>")
     assert embed.pool_tokens(df, "path", class_tokens=1).first().global_embedding == [2.0, 3.0]
     assert embed.pool_tokens(df.where("patch_id > 0"), "path").first().global_embedding == [2.0, 3.0]
+
+
+class Handle:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("most", [3, 8192])
+def test_last_values_in_bounded_frames(monkeypatch, most):
+    """The figures of updates in two micro-batches, in no order, are those of the plain rule, in frames of bounded rows."""
+    monkeypatch.setattr(live, "ROWS_OUT", most, raising=False)
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=70)
+    processor, out = live.LastValues(20), []
+    processor.init(Handle())
+    for steps in (np.arange(0, 7), np.arange(7, 70)):
+        mixed = rng.permutation(steps)
+        frames = [pd.DataFrame({"run": "r", "metric": "m", "step": x, "value": values[x]}) for x in np.array_split(mixed, 3)]
+        frames.append(pd.DataFrame({"run": "r", "metric": "m", "step": [1000], "value": [None]}))
+        out += list(processor.handleInputRows(("r", "m"), iter(frames), None))
+    assert max(map(len, out)) <= most and list(out[0].columns) == ["run", "metric", "step", "median", "avg", "max", "latest", "global_avg"]
+    got = pd.concat(out)
+    assert got["step"].tolist() == list(range(70))
+    for i, r in enumerate(got.itertuples()):
+        last = sorted(values[max(0, i - 19) : i + 1])
+        assert (r.run, r.metric, r.median, r.max, r.latest) == ("r", "m", last[(len(last) - 1) // 2], last[-1], values[i])
+        assert (r.avg, r.global_avg) == pytest.approx((sum(last) / len(last), values[: i + 1].mean()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from volframe.operators import curate, embed, epochs, geometry, leaderboard, patches, telemetry, values, volumes
 from volframe.plans import fixtures as fx
@@ -475,6 +476,26 @@ def stream_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("path", "collection", "subject", "sequence")
 
 
+#: Rows of an instalment, about, and how many there are at least.
+INSTALMENT_ROWS, INSTALMENTS = 1_000_000, 2
+
+
+def _in_instalments(spark: SparkSession, df: DataFrame, through, by: str, label: str) -> DataFrame:
+    """What a stream leaves of df's rows, which arrive in instalments in the order of `by`; the stream stops after each and
+    goes on with the next, so a micro-batch is an instalment, however many rows there are in all."""
+    kept, path, out, state = (scratch_path(spark, f"{label}{x}") for x in ("-kept", "", "-out", "-state"))
+    saved = scratch_path(spark, f"{label}-rows")
+    df.write.parquet(saved)
+    rows = spark.read.parquet(saved)
+    n = max(INSTALMENTS, -(-rows.count() // INSTALMENT_ROWS))
+    rows.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(kept)
+    for part in range(n):
+        some = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(kept).where(F.col("_part") == part).drop("_part")
+        some.write.mode("append").parquet(path)
+        live.finished(through(spark.readStream.schema(df.schema).parquet(path)), "append", out, state)
+    return spark.read.parquet(out)
+
+
 @query(ORACLE_SQL["rolling_meters"])
 def stream_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -482,10 +503,7 @@ def stream_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         flat = telemetry.updates(fx.steps(spark, sf_dir), "run", "step", ["loss", "grad"])
-        path = scratch_path(spark, "meters")
-        flat.repartitionByRange(4, "step").write.parquet(path)  # a stream's later files hold later steps
-        stream = spark.readStream.schema(flat.schema).parquet(path)
-        out = _run(spark, live.live_meters(stream), "append", "meters-out")
+        out = _in_instalments(spark, flat, live.live_meters, "step", "meters")
     finally:
         spark.conf.set(provider, before)
     return rounded(out.select("run", "step", "metric", "median", "avg", "max", "latest", "global_avg"), "median", "avg", "max", "latest", "global_avg")

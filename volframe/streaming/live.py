@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ def live_throughput(log: DataFrame, window: str, late: str, units: float) -> Dat
 
 class LastValues(StatefulProcessor):
     """Keeps the last values of a (run, metric) and, for each new one, gives the meter's figures. Values of one
-    micro-batch are taken in order of step; null values are no updates."""
+    micro-batch are taken in order of step; null values are no updates. Of a micro-batch a key's steps and values are held
+    as two arrays, and figures go out ROWS_OUT rows at a time."""
 
     def __init__(self, size: int = WINDOW):
         self.size = size
@@ -33,20 +35,42 @@ class LastValues(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         values, total, n = self.last.get() if self.last.exists() else ([], 0.0, 0)
-        values = list(values)
-        new = pd.concat(list(rows)).dropna(subset=["value"]).sort_values("step")
-        out = []
-        for step, value in zip(new["step"], new["value"], strict=True):
-            values = [*values, value][-self.size :]
-            total, n = total + value, n + 1
-            out.append((*key, step, sorted(values)[(len(values) - 1) // 2], sum(values) / len(values), max(values), value, total / n))
-        self.last.update((values, total, n))
-        yield pd.DataFrame(out, columns=["run", "metric", "step", "median", "avg", "max", "latest", "global_avg"])
+        kept = [(r["step"].to_numpy(np.int64), r["value"].to_numpy(np.float64)) for r in (r.dropna(subset=["value"])[["step", "value"]] for r in rows)]
+        steps, new = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.argsort(steps, kind="stable")
+        steps, new = steps[order], new[order]
+        last = np.array(values, np.float64)
+        for at in range(0, len(new), ROWS_OUT):
+            some = new[at : at + ROWS_OUT]
+            held = np.concatenate([last, some])
+            so_far = np.cumsum(np.concatenate([[total], some]))[1:]
+            figures = pd.DataFrame(meters_of(held, len(last), self.size), columns=["median", "avg", "max"])
+            figures = figures.assign(latest=some, global_avg=so_far / np.arange(n + 1, n + 1 + len(some)))
+            figures.insert(0, "step", steps[at : at + ROWS_OUT])
+            figures.insert(0, "metric", key[1])
+            figures.insert(0, "run", key[0])
+            yield figures
+            last, total, n = held[-self.size :], float(so_far[-1]), n + len(some)
+        self.last.update((last.tolist(), total, n))
 
     def close(self) -> None:
         pass
 
 
+#: Rows of a frame that the meters give at a time.
+ROWS_OUT = 8192
+
+
+def meters_of(values: np.ndarray, first: int, size: int) -> np.ndarray:
+    """[value, (lower median, mean, maximum)] of the last `size` values up to each one, from the first-th on."""
+    early = [values[: i + 1] for i in range(first, min(len(values), size - 1))]  # fewer than `size` values so far
+    short = np.array([(np.sort(w)[(len(w) - 1) // 2], w.sum() / len(w), w.max()) for w in early]).reshape(-1, 3)
+    if len(values) < max(size, first + 1):
+        return short
+    windows = np.lib.stride_tricks.sliding_window_view(values, size)[max(first - size + 1, 0) :]
+    return np.concatenate([short, np.stack([np.sort(windows, 1)[:, (size - 1) // 2], windows.sum(1) / size, windows.max(1)], 1)])
+
+
 METERS = "run string, metric string, step long, median double, avg double, max double, latest double, global_avg double"
 
 
