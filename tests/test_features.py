@@ -374,3 +374,12 @@ def test_the_rest_stands_alone(tmp_path):
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert len(q) > 70 and set(o) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True, timeout=120)
+
+
+def test_listed_members_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A lookup's few bytes don't put all members in one task."""
+    index, _, root = stored(spark, tmp_path)
+    monkeypatch.setattr(shards, "STRETCH_BYTES", 5000, raising=False)
+    listed = ordering.with_ordinal(index.select("path"), "path")
+    got = shards.read_members(shards.strict_lookup(listed, index), root).withColumn("task", F.spark_partition_id()).select("path", "task").collect()
+    assert len({r.path for r in got}) == 40 and len({r.task for r in got}) > 1

@@ -20,6 +20,8 @@ from volframe.plans.scratch import scratch_path
 VOLUME = "path string, values array<int>, scale double, mask_rle array<long>, shape array<int>, affine array<array<double>>"
 #: A task reads about this much of a shard.
 RANGE_BYTES = 128_000_000
+#: Where members are listed, a stretch of a shard that one task reads on end, and tasks of the read for each core.
+STRETCH_BYTES, TASKS_A_CORE = 1 << 20, 4
 #: How a field of a member is stored in Arrow.
 KINDS = {
     "path": pa.string(), "values": pa.list_(pa.int32()), "scale": pa.float64(), "mask_rle": pa.list_(pa.int64()), "shape": pa.list_(pa.int32()), "affine": pa.list_(pa.list_(pa.float64())),
@@ -144,10 +146,13 @@ def read_members(lookup: DataFrame, root: str, batch_rows: int = 8) -> DataFrame
     """(path, values, scale, mask_rle, shape, affine) of the members of a lookup (path, shard, offset, size).
 
     Rows go to tasks by shard and stretch of the shard, in order of offset, so that a task opens a shard once and reads
-    forward, and a large shard is read by many tasks. root is a URI that executors can open.
+    forward, and a shard is read by many tasks. Their number is fixed by the cores: rows of a lookup are narrow, and Spark
+    would join partitions of few bytes into one task, however long their members take to read. root is a URI that executors
+    can open.
     """
-    stretch = F.floor(F.col("offset") / RANGE_BYTES)
-    ordered = lookup.select("path", "shard", "offset", "size").repartition(F.col("shard"), stretch).sortWithinPartitions("shard", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    tasks = TASKS_A_CORE * lookup.sparkSession.sparkContext.defaultParallelism
+    ordered = lookup.select("path", "shard", "offset", "size").repartition(tasks, F.col("shard"), stretch).sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _members(root, (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), FIELDS, batch_rows)
