@@ -122,7 +122,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], ways: Sets, threshold: int, ban
 class _NearCopies(_Join):
     """The join's steps from pairs on, over buckets of bands."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, ways: Sets, threshold: int, bands: int, band_bins: int):
+    def __init__(self, docs: DataFrame, key: str, text: str, ways: Sets | int, threshold: int, bands: int, band_bins: int):
+        ways = ways if isinstance(ways, Sets) else Sets(ways)  # a number is that of the words of an n-gram
         self.threshold = threshold
         self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
         described = save(self.rows.mapInArrow(giving_back(lambda it: _sketched(it, ways, threshold, bands, band_bins)), SKETCHED), "sketches")
