@@ -198,3 +198,28 @@ def test_a_worker_keeps_few_words(monkeypatch):
     store.rest(0)
     assert not store.at and list(packing._cut(iter([batch]), path, 4096, 2, True)) == first
     tokenizing.shared.cache_clear()
+
+
+def test_words_are_looked_up_once_a_batch(monkeypatch):
+    """A word that recurs in a batch is one chunk for the store, and words of letters need no pattern of the tokenizer."""
+    encoder = tokenizing.WordEncoder(tokenizing.tokenizer_file(packing.TOKENIZER))
+    texts = ["the End, été été the END", " the end the end "] * 50
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:2]] * 50
+    asked, rows = [], encoder.store.rows
+    monkeypatch.setattr(encoder.store, "rows", lambda chunks, *a: asked.append(chunks) or rows(chunks, *a))
+    monkeypatch.setattr(encoder, "_by_places", lambda chunks: pytest.fail(f"{chunks} by patterns") if set(chunks) - {"", ","} else tokenizing.WordEncoder._by_places(encoder, chunks))
+    n, ids = encoder.encode(texts)
+    assert ids.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+    assert [sorted(c) for c in asked] == [["", ",", "end", "the", "été"]]
+    assert encoder.store.used[encoder.store.at["the"]] == 200
+
+
+def test_random_words():
+    """Any mix of letters, marks, blanks and special strings gets the ids that the library gives the whole text."""
+    rng = random.Random(3)
+    letters = ["<|endoftext|>", "<|", "'s", *"abzABZ .,!?;:\n\t\r\v\f\x1c\x85\xa0\u3000éÉe\u0301İßÿ×÷µª漢😀\0019-\u200b"]
+    texts = ["", " ", "a.", "A. b. c.:!? d.", "<|ENDOFTEXT|>. X, Y.", *("".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000))]
+    encoder = tokenizing.WordEncoder(tokenizing.tokenizer_file(packing.TOKENIZER))
+    n, ids = encoder.encode(texts)
+    for t, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks, and lower-case words, that a Python worker keeps before it drops the rarer ones: a bound on its memory.
 CACHE_CHUNKS = 300_000
@@ -33,10 +34,10 @@ class ChunkStore:
     """Arrays of numbers for each distinct chunk, all arrays of a chunk equally long, and gathered for many chunks at once.
     When it holds `most` chunks it keeps those that came more than once since the last time, if they are few enough.
 
-    learn: gets new chunks and returns, for each, a tuple of equally long lists.
+    learn: gets new chunks and returns, for each, a tuple of equally long lists; or, for all of them, what gather() gives.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[tuple]], kinds: tuple[type, ...], most: int = CACHE_CHUNKS):
+    def __init__(self, learn: Callable[[list[str]], list[tuple] | tuple[np.ndarray, list[np.ndarray]]], kinds: tuple[type, ...], most: int = CACHE_CHUNKS):
         self.learn, self.kinds, self.most = learn, kinds, most
         self.clear()
 
@@ -69,22 +70,24 @@ class ChunkStore:
         self.at = {}
         self.at = dict(zip(chunks.to_pylist(), range(len(kept)), strict=True))
 
-    def rows(self, chunks: list[str]) -> np.ndarray:
-        """The number of each chunk, after learning those that are new."""
+    def rows(self, chunks: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """The number of each chunk, after learning those that are new. times: how often each came, if not once."""
         if len(self.at) > self.most:
             self.shrink()
         if new := list(set(chunks).difference(self.at)):
             found = self.learn(new)
             n = len(self.at)
             self.at.update(zip(new, range(n, n + len(new)), strict=True))
-            lengths = np.fromiter((len(x[0]) for x in found), np.int64, len(found))
+            if isinstance(found, tuple):
+                lengths, values = found
+            else:
+                lengths = np.fromiter((len(x[0]) for x in found), np.int64, len(found))
+                values = [np.fromiter((v for x in found for v in x[k]), kind, int(lengths.sum())) for k, kind in enumerate(self.kinds)]
             self.starts = np.concatenate([self.starts, len(self.values[0]) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            for k, kind in enumerate(self.kinds):
-                new_values = np.concatenate([np.asarray(x[k], kind) for x in found]) if isinstance(found[0][k], np.ndarray) else np.fromiter((v for x in found for v in x[k]), kind, int(lengths.sum()))
-                self.values[k] = np.concatenate([self.values[k], new_values])
+            self.values = [np.concatenate(both) for both in zip(self.values, values, strict=True)]
         rows = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        self.used = np.bincount(rows, minlength=len(self.at)) + np.pad(self.used, (0, len(self.at) - len(self.used)))
+        self.used = np.bincount(rows, times, len(self.at)).astype(np.int64) + np.pad(self.used, (0, len(self.at) - len(self.used)))
         return rows
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -126,9 +129,32 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-WORD_CHUNKS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Marks that end a word. They are tokens of their own in any case, so they may be set apart, and the word is a known one.
-END_MARKS = re.compile(r"(?<=[a-z])([.,!?;:]+)(?=[\x20\x09-\x0D]|\Z)")
+END_MARKS = r"([a-z])([.,!?;:]+)([\x20\x09-\x0D]|\z)"
+#: Words of ASCII and Latin-1 letters alone, which normalisation leaves as they are but for their case.
+LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+
+
+def letters_tokenizer(tokenizer):
+    """(tokenizer, whether an id ends a word) for words of LETTERS with a blank between: a tokenizer's model without the
+    patterns that such words don't need. None if it is not of the kind for which that is known to be the same."""
+    import json
+
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    settings = lambda part: json.loads(part.__getstate__()) if part else {}
+    model, suffix = tokenizer.model, getattr(tokenizer.model, "end_of_word_suffix", None)
+    forms = [n["type"] for n in settings(tokenizer.normalizer).get("normalizers", [])]
+    steps = settings(tokenizer.pre_tokenizer).get("pretokenizers", [])
+    same = isinstance(model, models.BPE) and suffix and not model.dropout and forms == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+    if not same or steps[1]["add_prefix_space"] or steps[1]["use_regex"] or "|[\\p{L}]+|" not in steps[0]["pattern"].get("Regex", ""):
+        return None
+    own = Tokenizer(model)
+    own.normalizer = normalizers.Lowercase()
+    own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(own.get_vocab_size(), bool)
+    ends[[i for word, i in own.get_vocab().items() if word.endswith(suffix)]] = True
+    return own, ends
 
 
 class WordEncoder:
@@ -142,25 +168,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = letters_tokenizer(self.tokenizer)
         self.store = ChunkStore(self._learn, (np.uint32,), CACHE_WORDS)
 
-    def _learn(self, chunks: list[str]) -> list[tuple]:
-        found: list[tuple] = []
-        for at in range(0, len(chunks), 4096):  # many chunks as one text, whose tokens are told apart by their place
-            some = chunks[at : at + 4096]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, places = np.array(e.ids, np.uint32), np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            cuts = np.searchsorted(places, ends[:-1])
-            found += [(x,) for x in np.split(ids, cuts)]
-        return found
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What the tokenizer gives for each chunk. Many go through it as one text."""
+        plain = pc.match_substring_regex(pa.array(chunks, pa.large_string()), LETTERS).to_numpy(zero_copy_only=False) if self.letters else np.zeros(len(chunks), bool)
+        lengths, ids = np.zeros(len(chunks), np.int64), []
+        for kind, work in ((plain, self._by_ends), (~plain, self._by_places)):
+            mine = np.flatnonzero(kind)
+            for at in range(0, len(mine), 4096):
+                own = mine[at : at + 4096]
+                lengths[own], some = work([chunks[i] for i in own])
+                ids.append(some)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        ends = np.cumsum(lengths[order])
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = ends - lengths[order]
+        first = np.cumsum(lengths) - lengths
+        return lengths, [np.concatenate(ids)[np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)]]
+
+    def _by_ends(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, ids) of words of LETTERS: each is one word to the model, whose last id ends it."""
+        own, ends = self.letters
+        ids = np.array(own.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(ends[ids])
+        if len(last) != len(chunks):  # a model that lacks a letter
+            return self._by_places(chunks)
+        return np.diff(last, prepend=-1), ids
+
+    def _by_places(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, ids) of any chunks: their tokens are told apart by their place."""
+        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        places = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        return np.diff(np.searchsorted(places, ends[:-1]), prepend=0, append=len(places)), np.array(e.ids, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids on end)."""
-        plain = [t if "<|" in t else END_MARKS.sub(r" \1", t.encode().lower().decode()) for t in texts]
-        chunks, counts = split_chunks(plain, WORD_CHUNKS)
-        lengths, (ids,) = self.store.gather(self.store.rows(chunks))
-        return sums(lengths, counts), ids
+        """(number of ids of each text, all ids on end). Texts are cut, and equal words found, by Arrow; only a word that
+        differs from all others becomes a Python string."""
+        own = pa.array(texts, pa.large_string())
+        plain = pc.replace_substring_regex(pc.ascii_lower(own), END_MARKS, r"\1 \2\3")
+        if pc.any(special := pc.match_substring(own, "<|")).as_py():
+            plain = pc.if_else(special, own, plain)
+        chunks = pc.ascii_split_whitespace(plain)  # with an empty one, which has no ids, where a text begins or ends blank
+        words = chunks.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        rows = self.store.rows(words.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(at, minlength=len(words.dictionary)))
+        lengths, (ids,) = self.store.gather(rows[at])
+        return sums(lengths, np.diff(chunks.offsets.to_numpy())), ids
 
 
 #: White space apart from the ASCII kind below; with it, a text is encoded in one piece.
