@@ -204,3 +204,16 @@ def test_bad_voxel_rows(spark):
         with pytest.raises(Exception, match=said):
             voxels.unpacked(df, "path").collect()
     assert voxels.unpacked(spark.createDataFrame([("v", [], 1.0, [8], [2, 2, 2], np.eye(4).tolist())], kind), "path").collect() == []
+
+
+@pytest.mark.parametrize("crop", [False, True])
+def test_voxel_rows_are_made_once(spark, crop):
+    """Rows are ranked, and headers worked out, once, and what voxels give is summed by hash, whatever is carried with them."""
+    from volframe.operators import voxels
+
+    kind = "path string, values array<int>, scale double, mask_rle array<long>, shape array<int>, affine array<array<double>>"
+    df = spark.createDataFrame([("v", [1, 2], 1.0, [6, 2], [2, 2, 2], np.diag([2.0, 1, 0.5, 1]).tolist())], kind)
+    made = voxels.prepare(df, "path", volumes.VolumeSpec((4, 2, 2), crop=crop))._jdf.queryExecution()
+    assert made.optimizedPlan().toString().count("MapInArrow") == 1
+    assert made.optimizedPlan().toString().count("row_number()") == 1
+    assert "SortAggregate" not in made.executedPlan().toString()
